@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import copies, survivor, visual
+from . import copies, linkage, spans, subjects, survivor, visual
 
 
 def _read(spark: SparkSession, d: str, table: str) -> DataFrame:
@@ -35,6 +35,21 @@ def p2_titles(spark: SparkSession, d: str) -> DataFrame:
     return visual.one_form(notes, "normalized_title", "normalized_form", fold_case=True).select("guid", "title_form", "normalized_form")
 
 
+def _p4_assigned(spark: SparkSession, d: str) -> DataFrame:
+    areas = [r["subject"] for r in _read(spark, d, "subject_areas").orderBy("ord").collect()]
+    notes = subjects.prepare(_read(spark, d, "parsed_notes"))
+    return subjects.assign(notes, subjects.fit(notes, _read(spark, d, "subject_labels"), areas))
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return _p4_assigned(spark, d).select(F.col("id").alias("guid"), "subject")
+
+
+def p4_makeup(spark: SparkSession, d: str) -> DataFrame:
+    """The catalog's make-up: notes of each subject and their summed shares."""
+    return _p4_assigned(spark, d).groupBy("subject").agg(F.count("*").alias("notes"), F.sum("weight").alias("weight"))
+
+
 P5_FIELDS = ["summary", "canonical_path", "primary_domain"]
 
 
@@ -60,7 +75,44 @@ def p5_records(spark: SparkSession, d: str) -> DataFrame:
     return g.select(F.col("group_id").alias("group_guid"), F.col("top_id").alias("guid"), "n_rows", *[F.col(f"{f}.value").alias(f) for f in P5_FIELDS])
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_notes, p2_found, p2_titles, p5_found, p5_records)}
+def _p3_probe(spark: SparkSession, d: str) -> linkage.Probe:
+    """The accepted notes as history, all arrivals as the batches that follow each other."""
+    notes = _read(spark, d, "parsed_notes").where(F.col("outcome") == "accepted")
+    known = linkage.records(notes, F.concat(F.lit("note "), F.col("guid")), F.lit(-(1 << 62)), F.lit(0))
+    arrivals = linkage.records(_read(spark, d, "incoming_notes"), F.col("arrival_id"), F.col("batch_no"), F.col("arrival_id"))
+    return linkage.History(known).probe(arrivals)
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return _p3_probe(spark, d).found().select(F.col("rid").cast("bigint").alias("arrival_id"))
+
+
+def p3_clusters(spark: SparkSession, d: str) -> DataFrame:
+    """Each arrival with the representative of its cluster, and the best score against a record known before it."""
+    probe = _p3_probe(spark, d)
+    scored = probe.scored()
+    links = scored.where("same").select(F.col("rid").alias("a"), F.col("known").alias("b"))
+    own = probe.records.select(F.col("rid").alias("id"), F.col("rid").alias("rep"))
+    best = scored.groupBy("rid").agg(F.max("score").alias("best_score"))
+    mapping = linkage.update_representatives(own, links).join(probe.records.select(F.col("rid").alias("id")), "id", "left_semi")
+    return mapping.join(best, mapping["id"] == best["rid"], "left").select(F.col("id").cast("bigint").alias("arrival_id"), F.col("rep").alias("representative"), "best_score")
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return spans.SharedSpans(_read(spark, d, "documents"), min_span=150).pairs()
+
+
+def p8_shared(spark: SparkSession, d: str) -> DataFrame:
+    """Each document that shares spans, with the number of its characters that stand elsewhere too and their share."""
+    docs = _read(spark, d, "documents")
+    shared = spans.SharedSpans(docs, min_span=150).shared()
+    sizes = docs.select(F.col("doc_id").alias("id"), "n_chars")
+    return shared.join(sizes, "id").select(
+        F.col("id").alias("doc_id"), "n_spans", "shared_chars", "longest", (F.col("shared_chars") / F.col("n_chars")).alias("share")
+    )
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_notes, p2_found, p2_titles, p3_found, p3_clusters, p4_found, p4_makeup, p5_found, p5_records, p8_found, p8_shared)}
 
 
 def queries() -> dict:
