@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import copies, linkage, spans, subjects, survivor, visual
+from quillmill.session import materialize
+
+from . import copies, linkage, mixing, packing, spans, subjects, survivor, tokens, visual
 
 
 def _read(spark: SparkSession, d: str, table: str) -> DataFrame:
@@ -98,6 +100,36 @@ def p3_clusters(spark: SparkSession, d: str) -> DataFrame:
     return mapping.join(best, mapping["id"] == best["rid"], "left").select(F.col("id").cast("bigint").alias("arrival_id"), F.col("rep").alias("representative"), "best_score")
 
 
+def _token_sizes(spark: SparkSession, d: str) -> DataFrame:
+    return materialize(tokens.token_sizes(_read(spark, d, "documents"), "doc_id", "text", ["source"]), "token-sizes")
+
+
+def _p6_packed(spark: SparkSession, d: str) -> DataFrame:
+    return packing.assign_containers(_token_sizes(spark, d), _read(spark, d, "pack_capacities"))
+
+
+def p6_pack(spark: SparkSession, d: str) -> DataFrame:
+    return _p6_packed(spark, d).withColumnRenamed("id", "doc_id")
+
+
+def p6_fill(spark: SparkSession, d: str) -> DataFrame:
+    """Containers used, the fewest possible by total size, and the share of their room that is filled."""
+    return packing.fill_report(_p6_packed(spark, d), _read(spark, d, "pack_capacities"))
+
+
+def _p7_mix(spark: SparkSession, d: str) -> mixing.Mix:
+    return mixing.Mix(_token_sizes(spark, d), _read(spark, d, "mix_targets"))
+
+
+def p7_mix(spark: SparkSession, d: str) -> DataFrame:
+    return _p7_mix(spark, d).chosen().withColumnRenamed("id", "doc_id")
+
+
+def p7_shares(spark: SparkSession, d: str) -> DataFrame:
+    """The shares really reached beside the targets."""
+    return _p7_mix(spark, d).report()
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return spans.SharedSpans(_read(spark, d, "documents"), min_span=150).pairs()
 
@@ -112,7 +144,7 @@ def p8_shared(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_notes, p2_found, p2_titles, p3_found, p3_clusters, p4_found, p4_makeup, p5_found, p5_records, p8_found, p8_shared)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_notes, p2_found, p2_titles, p3_found, p3_clusters, p4_found, p4_makeup, p5_found, p5_records, p6_pack, p6_fill, p7_mix, p7_shares, p8_found, p8_shared)}
 
 
 def queries() -> dict:
