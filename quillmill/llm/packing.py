@@ -7,7 +7,8 @@ The items are spread over shards of bounded size, each packed by itself, for eve
    to the longest of its group, which leaves a few sizes;
 3. configurations of these sizes are chosen by column generation: a linear program over the sizes, with a knapsack for
    each new configuration; the solution is rounded down, and what is left is packed by best fit;
-4. the actual items take the places of their group, and give back what rounding took;
+4. the actual items take the places of their group, the longest first; the last place of a container goes to the longest item
+   of any group that fits the room really left, so that what rounding took is given back;
 5. the small items go, by decreasing size, into the fullest container that they fit.
 
 Empty items (0 tokens) take no room: they go into the first container of their shard. Null sizes count as 0.
@@ -52,7 +53,7 @@ def _knapsack(values: np.ndarray, sizes: np.ndarray, capacity: int, counts: np.n
     return out
 
 
-def _least_containers(sizes: np.ndarray, counts: np.ndarray, capacity: int, rounds: int = 60) -> list[tuple[np.ndarray, int]]:
+def _least_containers(sizes: np.ndarray, counts: np.ndarray, capacity: int, rounds: int = 400) -> list[tuple[np.ndarray, int]]:
     """Configurations and how often each is used, rounded down, for counts of a few sizes.
 
     Revised simplex on the covering program: the columns of the basis are configurations, the duals price sizes.
@@ -98,6 +99,37 @@ class _BestFit:
         return number
 
 
+class _Stock:
+    """Items by size; take() gives the longest that is not over a size. Emptied sizes are skipped by shortcuts."""
+
+    def __init__(self, items: np.ndarray, sizes: np.ndarray):
+        self.own: dict[int, list[int]] = {}
+        for i in items[::-1]:
+            self.own.setdefault(int(sizes[i]), []).append(int(i))
+        self.sizes = sorted(self.own)
+        self.below = list(range(len(self.sizes)))  # own index while a size has items, else one further down
+
+    def take(self, most: int) -> int | None:
+        at = bisect.bisect_right(self.sizes, most) - 1
+        path = []
+        while at >= 0 and self.below[at] != at:
+            path.append(at)
+            at = self.below[at]
+        for x in path:
+            self.below[x] = at
+        if at < 0:
+            return None
+        items = self.own[self.sizes[at]]
+        item = items.pop()
+        if not items:
+            self.below[at] = at - 1
+        return item
+
+    def rest(self) -> list[int]:
+        """What is left, the longest first."""
+        return [i for size in reversed(self.sizes) for i in reversed(self.own[size])]
+
+
 def pack(sizes: np.ndarray, capacity: int, groups: int = 12, small_part: int = 8) -> np.ndarray:
     """Container number of each item; sizes are from 0 to capacity."""
     out = np.zeros(len(sizes), np.int64)
@@ -112,18 +144,23 @@ def pack(sizes: np.ndarray, capacity: int, groups: int = 12, small_part: int = 8
         kinds, kind_of_group = np.unique(tops, return_inverse=True)
         kind = kind_of_group[number]
         counts = np.bincount(kind, minlength=len(kinds))
-        waiting = [list(large[kind == i][::-1]) for i in range(len(kinds))]  # longest last, taken first
-        rest: list[int] = []
+        stock = _Stock(large, sizes)
         for config, times in _least_containers(kinds, counts, capacity):
+            places = [i for i in range(len(kinds) - 1, -1, -1) for _ in range(config[i])]  # the longest kind first
             for _ in range(times):
-                own = [waiting[i].pop() for i in range(len(kinds)) for _ in range(min(config[i], len(waiting[i])))]
+                own, room = [], capacity
+                for i in places[:-1]:
+                    item = stock.take(int(min(kinds[i], room)))
+                    if item is not None:
+                        own.append(item)
+                        room -= int(sizes[item])
+                while (item := stock.take(room)) is not None:
+                    own.append(item)
+                    room -= int(sizes[item])
                 if not own:
                     break
-                out[own] = fit.open(capacity - int(sizes[own].sum()))
-        for items in waiting:
-            rest.extend(items)
-        rest.sort(key=lambda i: (-sizes[i], i))
-        for i in rest:
+                out[own] = fit.open(room)
+        for i in stock.rest():
             out[i] = fit.put(int(sizes[i]))
     for i in small:
         if sizes[i] > 0:
