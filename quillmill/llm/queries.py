@@ -77,21 +77,21 @@ def p5_records(spark: SparkSession, d: str) -> DataFrame:
     return g.select(F.col("group_id").alias("group_guid"), F.col("top_id").alias("guid"), "n_rows", *[F.col(f"{f}.value").alias(f) for f in P5_FIELDS])
 
 
-def _p3_probe(spark: SparkSession, d: str) -> linkage.Probe:
+def _p3_probe(spark: SparkSession, d: str, *kinds: str) -> linkage.Probe:
     """The accepted notes as history, all arrivals as the batches that follow each other."""
     notes = _read(spark, d, "parsed_notes").where(F.col("outcome") == "accepted")
     known = linkage.records(notes, F.concat(F.lit("note "), F.col("guid")), F.lit(-(1 << 62)), F.lit(0))
     arrivals = linkage.records(_read(spark, d, "incoming_notes"), F.col("arrival_id"), F.col("batch_no"), F.col("arrival_id"))
-    return linkage.History(known).probe(arrivals)
+    return linkage.History(known, kinds).probe(arrivals)
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    return _p3_probe(spark, d).found().select(F.col("rid").cast("bigint").alias("arrival_id"))
+    return _p3_probe(spark, d, "hash").found().select(F.col("rid").cast("bigint").alias("arrival_id"))
 
 
 def p3_clusters(spark: SparkSession, d: str) -> DataFrame:
     """Each arrival with the representative of its cluster, and the best score against a record known before it."""
-    probe = _p3_probe(spark, d)
+    probe = _p3_probe(spark, d, "hash", "guid", "path")
     scored = probe.scored()
     links = scored.where("same").select(F.col("rid").alias("a"), F.col("known").alias("b"))
     own = probe.records.select(F.col("rid").alias("id"), F.col("rid").alias("rep"))
