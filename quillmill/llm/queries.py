@@ -39,8 +39,9 @@ def p2_titles(spark: SparkSession, d: str) -> DataFrame:
 
 def _p4_assigned(spark: SparkSession, d: str) -> DataFrame:
     areas = [r["subject"] for r in _read(spark, d, "subject_areas").orderBy("ord").collect()]
-    notes = subjects.prepare(_read(spark, d, "parsed_notes"))
-    return subjects.assign(notes, subjects.fit(notes, _read(spark, d, "subject_labels"), areas))
+    labels = _read(spark, d, "subject_labels")
+    table = subjects.prepare(_read(spark, d, "parsed_notes"), labels, areas)
+    return subjects.assign(table, subjects.fit(table, labels, areas))
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
