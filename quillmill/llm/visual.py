@@ -25,6 +25,8 @@ LOOKALIKE_ROWS = [
     ("ՍՕՏոսօհցզ", "UOSnuohgq"),
     # Letter-like forms without a compatibility mapping
     ("ıɡɑꓐꓑꓒꓓꓔꓖꓗꓙꓚꓜꓝꓟꓠꓡꓢꓣꓦꓧꓪꓫꓬꓮꓰꓲꓳꓴ", "igaBPdDTGKJCZFMNLSRVHWXYAEIOU"),
+    # Hyphens that look like the plain one
+    ("\u2010\u2011\u2043", "---"),
     # Katakana that look like Han characters
     ("カエロニハタトセチメ", "力工口二八夕卜七千乄"),
 ]
