@@ -33,10 +33,10 @@ def upsert(catalog: DataFrame, batch: DataFrame, key: list[str], preserve: list[
     the newest comes out of a partial aggregate. A key with a null part is a key like others.
     """
     rest = [c for c in catalog.columns if c not in key]
-    side = lambda df, n: df.select(*key, F.struct(F.lit(n).alias("side"), *[F.col(c).alias(f"o{i}") for i, c in enumerate(order)], *rest).alias("x"))
+    side = lambda df, n: df.select(*key, F.struct(F.lit(n).alias("__side"), *[F.col(c).alias(f"__o{i}") for i, c in enumerate(order)], *rest).alias("__x"))
     both = side(catalog, 0).unionByName(side(batch, 1))
-    best = both.groupBy(*key).agg(F.max("x").alias("new"), F.max(F.when(F.col("x.side") == 0, F.col("x"))).alias("old"))
-    return best.select(*key, *[F.coalesce(f"old.{c}", f"new.{c}").alias(c) if c in preserve else F.col(f"new.{c}").alias(c) for c in rest]).select(*catalog.columns)
+    best = both.groupBy(*key).agg(F.max("__x").alias("__new"), F.max(F.when(F.col("__x.__side") == 0, F.col("__x"))).alias("__old"))
+    return best.select(*key, *[F.coalesce(f"__old.{c}", f"__new.{c}").alias(c) if c in preserve else F.col(f"__new.{c}").alias(c) for c in rest]).select(*catalog.columns)
 
 
 def touch(catalog: DataFrame, seen: DataFrame, key: list[str], column: str, value) -> DataFrame:

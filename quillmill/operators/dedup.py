@@ -19,8 +19,8 @@ def freshest(df: DataFrame, key: list[str], fresh: list[str] = FRESH) -> DataFra
     """One row for each key, the freshest; null keys are a group of their own. Equal rows give one of them."""
     rest = [c for c in df.columns if c not in key]
     order = F.struct(*[F.col(c) for c in fresh if c not in key], *[F.col(c) for c in rest if c not in fresh])
-    best = df.groupBy(*key).agg(F.max(order).alias("x"))
-    return best.select(*key, "x.*").select(*df.columns)
+    best = df.groupBy(*key).agg(F.max(order).alias("__best"))
+    return best.select(*key, "__best.*").select(*df.columns)
 
 
 def rank_candidates(hits: DataFrame, keywords: list[str]) -> DataFrame:

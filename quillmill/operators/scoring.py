@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from quillmill.functions.text import DIGIT_MAY_FOLLOW, LESS_LONGER_WORD, _RUN, _WORDS, bounded, fold
 from quillmill.operators.registry import Registry
+from quillmill.session import filled_frames
 
 
 def _counter(term: str, rule: str):
@@ -52,7 +53,7 @@ def term_matrix(docs: DataFrame, id_col: str, text: Column, terms: list[str], ru
                         ns.append(n)
             yield pd.DataFrame({"id": pd.Series(ids, dtype=pdf["id"].dtype), "term": names, "n": pd.Series(ns, dtype="int32")})
 
-    return docs.select(F.col(id_col).alias("id"), text.alias("text")).mapInPandas(count, f"id {kind}, term string, n int")
+    return docs.select(F.col(id_col).alias("id"), text.alias("text")).mapInPandas(filled_frames(count), f"id {kind}, term string, n int")
 
 
 def term_matrix_native(docs: DataFrame, id_col: str, text: Column, registry: Registry) -> DataFrame:

@@ -44,6 +44,17 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def filled_frames(function):
+    """A function for mapInPandas without its empty frames, which have no types of their own to convert."""
+
+    def run(batches):
+        for frame in function(batches):
+            if len(frame):
+                yield frame
+
+    return run
+
+
 def materialize(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
     """Write df as Parquet into the shared folder and read it back.
 

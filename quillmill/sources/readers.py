@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmill.functions import text as T
+from quillmill.session import filled_frames
 
 #: Names that no managed document lies under.
 UNMANAGED = r"(^|/)(\.obsidian|\.state|\.git|_attachments)(/|$)"
@@ -74,7 +75,7 @@ def export_markdown(docs: DataFrame, root: str) -> DataFrame:
                 done.append(not same)
             yield pd.DataFrame({"path": pdf["path"], "written": done})
 
-    return docs.select("path", "text").mapInPandas(write, "path string, written boolean")
+    return docs.select("path", "text").mapInPandas(filled_frames(write), "path string, written boolean")
 
 
 def page_ranges(total: int, size: int = 250) -> list[tuple[int, int]]:
@@ -161,7 +162,7 @@ def zip_members(spark: SparkSession, glob: str) -> DataFrame:
                 yield pd.DataFrame(rows, columns=["archive", "path", "size", "sha", "problem"])
 
     files = spark.read.format("binaryFile").load(glob).select("path", "content")
-    return files.mapInPandas(scan, "archive string, path string, size long, sha string, problem string")
+    return files.mapInPandas(filled_frames(scan), "archive string, path string, size long, sha string, problem string")
 
 
 def file_manifest(spark: SparkSession, root: str) -> DataFrame:
