@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmill.session import materialize
+from quillmill.session import filled_frames, materialize
 
 GRAM = 50
 CHUNK = 1 << 19
@@ -127,7 +127,7 @@ def anchor_table(docs: DataFrame, min_span: int) -> DataFrame:
                 who, pos, h = anchors_of(some, min_span)
                 yield pd.DataFrame({"h": h.view(np.int64), "id": np.asarray(own, dtype=np.int64)[who], "pos": pos.astype(np.int32)})
 
-    return docs.mapInPandas(find, "h long, id long, pos int")
+    return docs.mapInPandas(filled_frames(find), "h long, id long, pos int")
 
 
 def _blocks(min_span: int):
@@ -148,7 +148,7 @@ def _blocks(min_span: int):
                     blocks.append(text[start : p + GRAM + reach])
             yield pd.DataFrame({"h": h, "id": ids, "pos": pos, "off": offs, "block": blocks}).astype({"pos": "int32", "off": "int32"})
 
-    return cut
+    return filled_frames(cut)
 
 
 _BLOCK_SCHEMA = "h long, id long, pos int, off int, block string"
@@ -232,7 +232,7 @@ def _factor_runs(min_span: int, intervals: bool):
         if held is not None and len(held) and (out := work(held.reset_index(drop=True))) is not None:
             yield out
 
-    return run
+    return filled_frames(run)
 
 
 def _windows(min_span: int):
@@ -250,7 +250,7 @@ def _windows(min_span: int):
             if parts:
                 yield pd.concat(parts)
 
-    return cut
+    return filled_frames(cut)
 
 
 class SharedSpans:

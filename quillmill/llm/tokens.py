@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillmill.session import filled_frames
+
 TOKENIZERS = os.environ.get("QUILLMILL_TOKENIZERS", "/opt/tokenizers")
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Fixed value: the public pre-split pattern that belongs to the byte-level vocabularies.
@@ -40,4 +42,4 @@ def token_sizes(docs: DataFrame, id_col: str, text_col: str, keep: list[str] = [
 
     slim = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), *keep)
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema.fields[2:])
-    return slim.mapInPandas(size, "id long, n_tokens long" + (", " + kept if kept else ""))
+    return slim.mapInPandas(filled_frames(size), "id long, n_tokens long" + (", " + kept if kept else ""))
