@@ -4,6 +4,7 @@ import glob
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 from quillmill.plans import catalogue
@@ -11,7 +12,7 @@ from quillmill.plans import catalogue
 
 def plain(df):
     def value(v):
-        if v is None or v != v:
+        if v is None or v is pd.NA or v != v:
             return None
         if isinstance(v, bool) or type(v).__name__ in ("bool", "bool_"):
             return bool(v)
