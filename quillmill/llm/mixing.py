@@ -29,15 +29,15 @@ def apportion(weights: list[float], seats: int, most: list[int]) -> list[int]:
     free = [i for i, w in enumerate(weights) if w > 0 and most[i] > 0]
     left = min(seats, sum(most[i] for i in free))
     while left > 0 and free:
-        total = sum(weights[i] for i in free)
-        bulk = {i: max(0, int(left * weights[i] / total) - 2) for i in free}
-        if sum(bulk.values()) < 4 * len(free):
-            break
+        total, shared = sum(weights[i] for i in free), left + sum(got[i] for i in free)
         for i in free:
-            add = min(bulk[i], most[i] - got[i])
+            add = max(0, min(int(shared * weights[i] / total) - 2, most[i]) - got[i])
             got[i] += add
             left -= add
+        full = [i for i in free if got[i] >= most[i]]
         free = [i for i in free if got[i] < most[i]]
+        if not full:
+            break
     # from equal quotients on, one seat at a time
     heap = [(-weights[i] / (2 * got[i] + 1), i) for i in free]
     heapq.heapify(heap)
@@ -68,7 +68,7 @@ class Mix:
         least = min((share[r["source"]] * total_tokens for r in have), default=0)
         self.block = block = max(1, min(block_tokens, int(least / 20) or 1))
         seats = total_tokens // block
-        most = [int(r["tokens"] * max(0, r["repeats"]) // block) for r in have]
+        most = [int(-(-r["tokens"] * max(0, r["repeats"]) // block)) for r in have]
         quota = dict(zip([r["source"] for r in have], apportion([share[r["source"]] for r in have], seats, most)))
         shards = {r["source"]: max(1, round(r["tokens"] / shard_tokens)) for r in have}
         self.total_tokens, self.quota, self._rows = total_tokens, quota, rows
