@@ -19,6 +19,9 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Shards of one source at most; beyond, they hold more. Their rows are an id, a size and a rank.
+MOST_SHARDS = 2000
+
 
 def apportion(weights: list[float], seats: int, most: list[int]) -> list[int]:
     """Seats by highest quotients weight / (2 * seats so far + 1), up to most for each; ties to the earlier.
@@ -70,14 +73,14 @@ class Mix:
         seats = total_tokens // block
         most = [int(-(-r["tokens"] * max(0, r["repeats"]) // block)) for r in have]
         quota = dict(zip([r["source"] for r in have], apportion([share[r["source"]] for r in have], seats, most)))
-        shards = {r["source"]: max(1, round(r["tokens"] / shard_tokens)) for r in have}
+        shards = {r["source"]: min(MOST_SHARDS, max(1, round(r["tokens"] / shard_tokens))) for r in have}
         self.total_tokens, self.quota, self._rows = total_tokens, quota, rows
 
         plan = spark.createDataFrame([(s, n, max(0, next(r["repeats"] for r in have if r["source"] == s))) for s, n in shards.items()], "source string, shards int, repeats int")
         placed = used.select("source", "id", "n_tokens").join(F.broadcast(plan), "source")
         order = F.xxhash64(F.lit(seed), F.col("id"))
         placed = placed.withColumn("shard", F.pmod(F.shiftright(order, 20), F.col("shards")).cast("int")).withColumn("at", order)
-        # a shard has a bounded number of tokens, so this table has a row for each shard_tokens of the input
+        # at most MOST_SHARDS rows for each source with a target, at any size
         sizes = placed.groupBy("source", "shard").agg(F.sum("n_tokens").alias("tokens")).orderBy("source", "shard").collect()
         quotas = []
         for s in quota:

@@ -134,19 +134,21 @@ def _blocks(min_span: int):
     """Cut the blocks of the reference around the anchors of each text."""
     reach = min_span - GRAM
 
+    def frame(rows: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=["h", "id", "pos", "off", "block"]).astype({"h": "int64", "id": "int64", "pos": "int32", "off": "int32"})
+
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            h, ids, pos, offs, blocks = [], [], [], [], []
+            rows: list[tuple] = []
             for i, text, own in zip(pdf["id"], pdf["text"], pdf["anchors"]):
                 for a in own:
                     p = a["pos"]
                     start = max(0, p - reach)
-                    h.append(a["h"])
-                    ids.append(i)
-                    pos.append(p)
-                    offs.append(p - start)
-                    blocks.append(text[start : p + GRAM + reach])
-            yield pd.DataFrame({"h": h, "id": ids, "pos": pos, "off": offs, "block": blocks}).astype({"pos": "int32", "off": "int32"})
+                    rows.append((a["h"], i, p, p - start, text[start : p + GRAM + reach]))
+                if len(rows) >= 10_000:
+                    yield frame(rows)
+                    rows = []
+            yield frame(rows)
 
     return filled_frames(cut)
 
