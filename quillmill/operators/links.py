@@ -139,6 +139,12 @@ def orphans(docs: DataFrame, links: DataFrame) -> DataFrame:
     return docs.join(links.where("resolved is not null").select(F.col("resolved").alias("path")), "path", "left_anti")
 
 
+def few_sources(docs: DataFrame, links: DataFrame) -> DataFrame:
+    """docs (path, least) with fewer than least different resolved sources in links (a, resolved), with the number n they have."""
+    have = links.where("resolved is not null").groupBy(F.col("a").alias("path")).agg(F.count_distinct("resolved").alias("_n"))
+    return docs.join(have, "path", "left").withColumn("n", F.coalesce("_n", F.lit(0))).drop("_n").where(F.col("n") < F.col("least"))
+
+
 def link_rules(links: DataFrame, most: int = 3) -> DataFrame:
     """(a, kind, detail) for repeated, self and too many links of a source (a, b)."""
     per = links.groupBy("a", "b").agg(F.count("*").alias("n"))

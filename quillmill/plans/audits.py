@@ -92,6 +92,21 @@ def orphan_documents(spark: SparkSession, d: str) -> DataFrame:
     return links.orphans(have, _links(spark, d).select(F.col("b").alias("resolved")))
 
 
+@query(f"""WITH {_PAIRS}, k AS (SELECT DISTINCT path, CASE WHEN type = '知识' THEN 2 ELSE 1 END AS least FROM documents WHERE path IS NOT NULL AND domain IS NOT NULL),
+h AS (SELECT path, count(DISTINCT nxt) AS n FROM n WHERE nxt IS NOT NULL GROUP BY 1) SELECT k.path, k.least, coalesce(h.n, 0) AS n FROM k LEFT JOIN h ON k.path = h.path WHERE coalesce(h.n, 0) < k.least""")
+def few_sources(spark: SparkSession, d: str) -> DataFrame:
+    """Documents with fewer linked sources than their type asks for."""
+    have = docs(spark, d).where("path is not null and domain is not null").select("path", F.when(F.col("type") == "知识", 2).otherwise(1).alias("least")).distinct()
+    return links.few_sources(have, _links(spark, d).withColumnRenamed("b", "resolved")).select("path", "least", "n")
+
+
+@query(f"""WITH {_PAIRS} SELECT path AS a, '<!-- links:start -->' || chr(10) || string_agg(DISTINCT '- [[' || nxt || ']]', chr(10) ORDER BY '- [[' || nxt || ']]') || chr(10) || '<!-- links:end -->' AS block
+FROM n WHERE nxt IS NOT NULL AND nxt <> path GROUP BY 1""")
+def link_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """The sorted links of each document as a controlled block."""
+    return links.link_block(_links(spark, d))
+
+
 @query(r"""WITH p AS (SELECT DISTINCT path FROM documents WHERE path IS NOT NULL), s AS (SELECT regexp_replace(regexp_replace(path, '^.*/', ''), '\.md$', '') AS name, count(*) AS n, min(path) AS only FROM p GROUP BY 1),
 l AS (SELECT doc_id, path, coalesce(domain, '') || '/' || title AS target, regexp_replace(title, '^.*/', '') AS name FROM documents WHERE path IS NOT NULL AND NOT regexp_matches(title, '\.[A-Za-z0-9]{1,5}$'))
 SELECT l.doc_id, CASE WHEN regexp_matches(target, '(^|/)\.\.(/|$)|^/|^[A-Za-z]:') THEN 'outside' WHEN regexp_replace(l.path, '/?[^/]*$', '') || '/' || target || '.md' IN (SELECT path FROM p) THEN 'relative'

@@ -18,11 +18,11 @@ UNMANAGED = r"(^|/)(\.obsidian|\.state|\.git|_attachments)(/|$)"
 
 
 def markdown_tree(spark: SparkSession, root: str) -> DataFrame:
-    """(path, text) of all *.md files below root, without unmanaged folders; path is relative, '/'-separated."""
+    """(path, text, modified) of all *.md files below root, without unmanaged folders; path is relative, '/'-separated."""
     df = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").text(root, wholetext=True)
     rel = F.regexp_replace(F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))), r"^file:/*", "/")
     cut = len(root.rstrip("/")) + 2
-    return df.select(rel.substr(F.lit(cut), F.length(rel)).alias("path"), F.col("value").alias("text")).where(~F.col("path").rlike(UNMANAGED))
+    return df.select(rel.substr(F.lit(cut), F.length(rel)).alias("path"), F.col("value").alias("text"), F.col("_metadata.file_modification_time").alias("modified")).where(~F.col("path").rlike(UNMANAGED))
 
 
 def documents(tree: DataFrame) -> DataFrame:
