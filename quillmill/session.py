@@ -55,11 +55,23 @@ def filled_frames(function):
     return run
 
 
+_written: list[str] = []
+
+
+def release_tables(spark: SparkSession) -> int:
+    """Delete the tables that this process has written so far; results that read them must be done. Returns their number."""
+    n = 0
+    while _written:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        n += bool(path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True))
+    return n
+
+
 def materialize(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
     """Write df as Parquet into the shared folder and read it back.
 
     This cuts the lineage at a table that outlives any executor, and later passes
-    read columns of it instead of computing df again.
+    read columns of it instead of computing df again. release_tables() deletes what was written.
     """
     spark = df.sparkSession
     path = os.path.join(shared_folder(spark), "tables", f"{name}-{uuid.uuid4().hex}")
@@ -67,4 +79,5 @@ def materialize(df: DataFrame, name: str, partition_by: list[str] | None = None)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)

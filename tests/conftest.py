@@ -5,7 +5,7 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-from quillmill.session import get_session  # noqa: E402
+from quillmill.session import get_session, release_tables  # noqa: E402
 
 DATA = "/root/testdata/sf0.001"
 
@@ -15,6 +15,7 @@ def spark():
     s = get_session("tests", "local[4]", **{"spark.sql.shuffle.partitions": "4", "spark.driver.memory": "4g", "spark.ui.showConsoleProgress": "false"})
     s.sparkContext.setLogLevel("ERROR")
     yield s
+    release_tables(s)
     s.stop()
 
 
