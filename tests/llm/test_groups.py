@@ -255,6 +255,18 @@ def test_a_family_of_edited_copies(spark, monkeypatch):
     assert probe.compared()[0].count() < 60 * 59 / 4
 
 
+def test_scored_links_all_members_of_a_family(spark, monkeypatch):
+    """Known texts that share a long passage but are not the same; the passage alone is the same as each of them."""
+    monkeypatch.setattr(linkage, "FAMILY", 10)
+    rng = random.Random(12)
+    text = lambda n: "".join(rng.choice("abcdefghijklmnop") for _ in range(n))
+    passage = text(200)
+    known = [(f"k{i:02}", None, passage + text(150), None, "accepted") for i in range(15)]
+    history, incoming = frames(spark, known, [(0, 0, None, f"{0:064x}", passage, None)])
+    got = linkage.History(history, ("hash", "guid", "path")).probe(incoming).scored().where("same").collect()
+    assert {r["known"] for r in got} == {k[0] for k in known}
+
+
 def test_empty_history_and_batch(spark):
     known, arrivals = batches(9)
     history, incoming = frames(spark, known, arrivals)
