@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmill.functions.text import strip
+from quillmill.session import in_ranges
 
 FRESH = ["updated", "created", "guid"]
 
@@ -36,6 +37,17 @@ def rank_candidates(hits: DataFrame, keywords: list[str]) -> DataFrame:
     return merged.withColumn("in_title", F.coalesce(match, F.lit(False)))
 
 
+def places(ranked: DataFrame) -> DataFrame:
+    """All candidates with their place in rank order: places within ranges, after the rows of the ranges before (one row for each range)."""
+    order = [F.desc("in_title"), *[F.desc(c) for c in FRESH]]
+    parts = in_ranges(ranked, *order)
+    sizes = parts.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    within = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+    placed = parts.withColumn("_at", within).join(F.broadcast(sizes.select("_part", before.alias("_before"))), "_part")
+    return placed.withColumn("place", F.col("_before") + F.col("_at")).drop("_part", "_at", "_before")
+
+
 def by_title(df: DataFrame, title: str = "title") -> DataFrame:
     """The freshest row of each stripped title."""
     return freshest(df.withColumn(title, strip(F.col(title))), [title])

@@ -171,6 +171,12 @@ def rank_candidates(spark: SparkSession, d: str) -> DataFrame:
     return top.select("guid", "in_title", F.row_number().over(Window.orderBy(*order)).cast("long").alias("place"))
 
 
+@query(f"""WITH {RANKED} SELECT guid, in_title, row_number() OVER (ORDER BY in_title DESC, updated DESC, created DESC, guid DESC) AS place FROM merged""")
+def rank_candidates_all(spark: SparkSession, d: str) -> DataFrame:
+    """All candidates in rank; rank_candidates is the first thousand of them."""
+    return dedup.places(dedup.rank_candidates(hits(spark, d), WORDS)).select("guid", "in_title", "place")
+
+
 @query(f"WITH {RANKED} SELECT guid, title, created, updated FROM uniq")
 def title_dedup(spark: SparkSession, d: str) -> DataFrame:
     return dedup.by_title(dedup.rank_candidates(hits(spark, d), WORDS)).select("guid", "title", "created", "updated")

@@ -81,3 +81,10 @@ def materialize(df: DataFrame, name: str, partition_by: list[str] | None = None)
     writer.parquet(path)
     _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def in_ranges(df: DataFrame, *order) -> DataFrame:
+    """df as a written table with _part: all rows of a lower _part come before those of a higher one, and equal rows are in one."""
+    from pyspark.sql import functions as F
+
+    return materialize(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ranges")
