@@ -105,17 +105,24 @@ def region_valid(text: Column, start: str, end: str) -> Column:
 def log_order(entries: DataFrame, position: str, time: str) -> DataFrame:
     """entries (position, time string with offset) with problem: unreadable, goes_back, other_offset, or null.
 
-    Each is compared with the last readable entry before it. The log is one ordered file, so one ordered pass over its short entries.
+    Each is compared with the last readable entry before it. The log is cut into ranges of position; each range gets the last
+    readable entry of those before it, from a table of one row for each range.
     """
     from pyspark.sql import Window
 
-    w = Window.orderBy(position).rowsBetween(Window.unboundedPreceding, -1)
+    from quillmill.session import in_ranges
+
+    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
     at = F.try_to_timestamp(F.col(time))
     offset = F.regexp_replace(F.regexp_extract(time, r"(Z|[+-]\d{2}:?\d{2})$", 1), "Z", "+00:00")
-    e = entries.withColumns({"_at": at, "_off": F.when(at.isNotNull(), offset)})
-    e = e.withColumns({"_before": F.last("_at", ignorenulls=True).over(w), "_off_before": F.last("_off", ignorenulls=True).over(w)})
+    e = in_ranges(entries.withColumn("_at", at).withColumn("_e", F.when(F.col("_at").isNotNull(), F.struct("_at", offset.alias("_off")))), position)
+    ends = e.groupBy("_part").agg(F.max(F.when(F.col("_e").isNotNull(), F.struct(F.col(position).alias("x"), "_e")))["_e"].alias("_end"))
+    ends = ends.select("_part", F.last("_end", ignorenulls=True).over(before(Window.orderBy("_part"))).alias("_carried"))
+    e = e.join(F.broadcast(ends), "_part")
+    e = e.withColumn("_b", F.coalesce(F.last("_e", ignorenulls=True).over(before(Window.partitionBy("_part").orderBy(position))), "_carried"))
+    e = e.withColumns({"_off": F.col("_e._off"), "_before": F.col("_b._at"), "_off_before": F.col("_b._off")})
     problem = F.when(F.col("_at").isNull(), "unreadable").when(F.col("_at") < F.col("_before"), "goes_back").when(F.col("_off") != F.col("_off_before"), "other_offset")
-    return e.withColumn("problem", problem).drop("_at", "_off", "_before", "_off_before")
+    return e.withColumn("problem", problem).drop("_part", "_at", "_e", "_b", "_carried", "_off", "_before", "_off_before")
 
 
 def allowed_paths(files: DataFrame, patterns: list[str]) -> DataFrame:

@@ -237,6 +237,17 @@ def log_order(spark: SparkSession, d: str) -> DataFrame:
     return integrity.log_order(x, "pos", "last_seen_at").select("guid", "updated_ms", "problem")
 
 
+@query("""WITH x AS (SELECT guid, updated_ms, last_seen_at, row_number() OVER (ORDER BY guid NULLS FIRST, updated_ms NULLS FIRST, last_seen_at NULLS FIRST) AS pos FROM (SELECT DISTINCT guid, updated_ms, last_seen_at FROM parsed_notes)),
+y AS (SELECT *, CAST(last_seen_at AS TIMESTAMPTZ) AS t, replace(regexp_extract(last_seen_at, '(Z|[+-][0-9]{2}:[0-9]{2})$', 1), 'Z', '+00:00') AS off FROM x),
+z AS (SELECT *, lag(t) OVER (ORDER BY pos) AS before, lag(off) OVER (ORDER BY pos) AS off_before FROM y)
+SELECT guid, updated_ms, CASE WHEN t < before THEN 'goes_back' WHEN off <> off_before THEN 'other_offset' END AS problem FROM z""")
+def log_order_all(spark: SparkSession, d: str) -> DataFrame:
+    """The whole table as one ordered log; log_order is that of one domain's notes."""
+    x = read(spark, d, "parsed_notes").select("guid", "updated_ms", "last_seen_at").distinct()
+    x = x.withColumn("pos", F.struct("guid", "updated_ms", "last_seen_at"))
+    return integrity.log_order(x, "pos", "last_seen_at").select("guid", "updated_ms", "problem")
+
+
 _PATHS = [r"^[^/]+/\d{4}年\d{2}月/", r"^README\.md$"]
 
 

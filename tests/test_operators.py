@@ -149,3 +149,24 @@ def test_checks(spark):
     names = attachments.stored_names(spark.createDataFrame([("f", "a.png", "1" * 64), ("f", "a.png", "2" * 64), ("f", "a.png", "1" * 64)], "folder string, name string, sha string"))
     assert {r["stored"] for r in names.collect()} == {"a.png", "a_222222222222.png"}
     assert spark.range(1).select(attachments.url(F.lit("a b/ü+.png"))).collect()[0][0] == "a%20b/%C3%BC%2B.png"
+
+
+def test_log_order_across_ranges(spark):
+    """What is carried from range to range is the last readable entry, also over ranges that have none."""
+    times = [None if 10 <= i < 40 else f"2024-01-{28 - i // 2 if i in (41, 57) else 1 + i // 3:02}T00:00:00{'+08:00' if i >= 50 else 'Z'}" for i in range(60)]
+    log = spark.createDataFrame(list(enumerate(times)), "pos int, t string")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "12")
+    try:
+        got = [r["problem"] for r in integrity.log_order(log, "pos", "t").orderBy("pos").collect()]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    from datetime import datetime
+
+    want, last = [], None
+    for t in times:
+        now = t and datetime.fromisoformat(t)
+        want.append("unreadable" if not t else "goes_back" if last and now < last else "other_offset" if last and now.utcoffset() != last.utcoffset() else None)
+        last = now or last
+    assert got == want and {"unreadable", "goes_back", "other_offset", None} == set(want)

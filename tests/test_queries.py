@@ -52,7 +52,7 @@ def test_plans_push_down_and_prune(spark, data):
     assert "LeftAnti" in plan and "summary" not in plan.split("== Physical Plan ==")[1]
 
 
-@pytest.mark.parametrize("name, table", [("rank_candidates_all", "search_hits")])
+@pytest.mark.parametrize("name, table", [("rank_candidates_all", "search_hits"), ("log_order_all", "parsed_notes")])
 def test_whole_tables_come_out(spark, data, name, table):
     guids = catalogue.queries()[name](spark, data).select("guid").distinct().count()
     assert guids == spark.read.parquet(f"{data}/{table}.parquet").select("guid").distinct().count()
