@@ -230,6 +230,16 @@ def test_spread_edits_lose_nothing(spark):
     assert found_ids(spark, known, arrivals) == set(range(24)) == brute_found(known, arrivals)
 
 
+def test_edited_copies_over_shared_phrases(spark):
+    """All texts are made of the same phrases, so that narrow keys are hot; a letter is changed in every thirty."""
+    rng = random.Random(23)
+    phrases = ["".join(rng.choice("abcdefghijklmnop") for _ in range(30)) for _ in range(12)]
+    known = [(f"k{i}", None, "".join(rng.sample(phrases, 6)), None, "accepted") for i in range(60)]
+    edited = lambda t: "".join("z" if i % 30 == 14 else c for i, c in enumerate(t))
+    arrivals = [(i, 0, None, f"{i:064x}", edited(known[i][2]), None) for i in range(12)]
+    assert found_ids(spark, known, arrivals) == set(range(12)) == brute_found(known, arrivals)
+
+
 def test_a_known_block_against_brute_force():
     rng = random.Random(22)
     text = lambda signs, n: "".join(rng.choice(signs) for _ in range(rng.randrange(1, n)))
