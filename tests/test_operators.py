@@ -153,7 +153,7 @@ def test_checks(spark):
 
 def test_log_order_across_ranges(spark):
     """What is carried from range to range is the last readable entry, also over ranges that have none."""
-    times = [None if 10 <= i < 40 else f"2024-01-{30 - i // 2 if i in (41, 57) else 1 + i // 3:02}T00:00:00{'+08:00' if i >= 50 else 'Z'}" for i in range(60)]
+    times = [None if 10 <= i < 40 else f"2024-01-{30 - i // 2 if i in (41, 57) else 1 + i // 3:02}T00:00:00{'+08:00' if i >= 51 else 'Z'}" for i in range(60)]
     log = spark.createDataFrame(list(enumerate(times)), "pos int, t string")
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     spark.conf.set("spark.sql.shuffle.partitions", "12")
