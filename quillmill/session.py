@@ -33,10 +33,12 @@ def get_session(app: str = "quillmill", master: str | None = None, **conf: str)
 def shared_folder(spark: SparkSession) -> str:
     """The folder that all executors share, from spark.checkpoint.dir.
 
-    Only where the session names none (tests on one machine) a temporary folder is made.
+    Only where the session names none and its master is local (tests on one machine) a temporary folder is made.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="quillmill-")
         atexit.register(shutil.rmtree, folder, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", folder)
@@ -67,6 +69,13 @@ def release_tables(spark: SparkSession) -> int:
     return n
 
 
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, which release_tables() deletes."""
+    path = os.path.join(shared_folder(spark), "tables", f"{name}-{uuid.uuid4().hex}")
+    _written.append(path)
+    return path
+
+
 def materialize(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
     """Write df as Parquet into the shared folder and read it back.
 
@@ -74,12 +83,11 @@ def materialize(df: DataFrame, name: str, partition_by: list[str] | None = None)
     read columns of it instead of computing df again. release_tables() deletes what was written.
     """
     spark = df.sparkSession
-    path = os.path.join(shared_folder(spark), "tables", f"{name}-{uuid.uuid4().hex}")
+    path = scratch_folder(spark, name)
     writer = df.write
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
-    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
