@@ -87,7 +87,7 @@ def _p3_probe(spark: SparkSession, d: str, *kinds: str) -> linkage.Probe:
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    return _p3_probe(spark, d, "hash").found().select(F.col("rid").cast("bigint").alias("arrival_id"))
+    return _p3_probe(spark, d, "hash", "guid", "path").found().select(F.col("rid").cast("bigint").alias("arrival_id"))
 
 
 def p3_clusters(spark: SparkSession, d: str) -> DataFrame:
