@@ -57,15 +57,16 @@ P5_FIELDS = ["summary", "canonical_path", "primary_domain"]
 
 
 def _p5_groups(spark: SparkSession, d: str) -> DataFrame:
-    notes = _read(spark, d, "parsed_notes").select("guid", "title", "updated_ms", "created_ms", "last_seen_at", *P5_FIELDS)
+    notes = _read(spark, d, "parsed_notes").select("guid", "title", "updated_ms", "created_ms", "last_seen_at", "outcome", *P5_FIELDS)
     notes = notes.withColumns(
         {
             "group": survivor.title_group(F.col("title")),
             "updated": survivor.usable_time(F.col("updated_ms"), F.col("last_seen_at")),
             "created": survivor.usable_time(F.col("created_ms"), F.col("last_seen_at")),
+            "trust": (F.col("outcome") == "accepted").cast("int"),
         }
     )
-    return survivor.survivors(notes, "group", "guid", P5_FIELDS, ["updated", "created"])
+    return survivor.survivors(notes, "group", "guid", P5_FIELDS, ["updated", "created"], ["trust"])
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """One surviving record for each duplicate group (problem 5): skyline selection with filling from lower layers.
 
-A record dominates another of its group if it is at least as good in every criterion and better in one.
+Criteria are completeness (each field, filled or not), recency, and levels such as trust. A record dominates another of its group if it
+is at least as good in every criterion and better in one.
 Layer 1 are the undominated records, layer 2 those that only records of layer 1 dominate, and so on. Within
 a layer the lexicographic policy decides. Each field of the survivor comes from the first record in that order
 that holds a usable value.
@@ -77,8 +78,8 @@ def survivors(df: DataFrame, key: str, id_col: str, fields: list[str], recency:
     """One row for each group with at least two different ids.
 
     key: group column (null keys take no part). recency: columns compared in turn, larger is better; together with
-    the id they are one criterion. levels: further criteria with few values each, such as completeness
-    or trust. policy: order of criteria within a layer, of "recency" and levels; default recency first.
+    the id they are one criterion. Each field is a criterion too, filled or not (completeness). levels: further criteria with few values
+    each, such as trust. policy: order of criteria within a layer, of "recency" and levels; default recency first.
     Columns: group_key, group_id (smallest id), top_id, n_ids_more_than_one (always true), n_rows, and a struct (id, value) for
     each field, null where no record of the group has a usable value. Ties in all criteria go to the larger id,
     then to the larger values. Null recency counts as oldest.
@@ -106,10 +107,9 @@ def survivors(df: DataFrame, key: str, id_col: str, fields: list[str], recency:
         )
         .where(F.col("group_id") != F.col("last_id"))
     )
-    if levels:
-        groups = groups.withColumn("order", _layer_order(levels, policy)(F.col("records")))
-        groups = groups.withColumn("records", F.expr("transform(order, i -> records[i])")).drop("order")
-    # with recency as the only criterion each layer is one record, and the sorted list is the order of the layers
+    steps = F.transform(F.col("records"), lambda x: F.struct(x["mask"].alias("mask"), *[x["record"][c].alias(c) for c in levels]))
+    groups = groups.withColumn("order", _layer_order(levels, policy)(steps))
+    groups = groups.withColumn("records", F.expr("transform(order, i -> records[i])")).drop("order")
     holders = [
         F.expr(f"get(filter(records, x -> substring(x.mask, {i + 1}, 1) = '1'), 0)").alias(f"h{i}")
         for i in range(len(fields))
@@ -137,14 +137,15 @@ def _layer_order(levels: list[str], policy: list[str]):
 
     @F.pandas_udf("array<int>")
     def order(lists: pd.Series) -> pd.Series:
-        out = []
+        out, known = [], {}
         for records in lists:
-            rows = []
-            for i, x in enumerate(records):
-                r = x["record"]
+            shape = tuple(tuple(x.values()) for x in records)
+            if shape not in known:
                 # the list is sorted by recency, newest first
-                rows.append({"recency": len(records) - i, "at": i} | {c: r[c] for c in levels})
-            out.append([r["at"] for layer in _layers(rows, ["recency", *levels]) for r in sorted(layer, key=lambda r: [-r[c] for c in policy])])
+                rows = [{"recency": len(records) - i, "at": i} | x | {f"filled{k}": m for k, m in enumerate(x["mask"])} for i, x in enumerate(records)]
+                criteria = ["recency", *levels, *[c for c in rows[0] if c.startswith("filled")]]
+                known[shape] = [r["at"] for layer in _layers(rows, criteria) for r in sorted(layer, key=lambda r: [-r[c] for c in policy])]
+            out.append(known[shape])
         return pd.Series(out)
 
     return order
