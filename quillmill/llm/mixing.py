@@ -15,13 +15,10 @@ from __future__ import annotations
 
 import heapq
 
-import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Shards of one source at most; beyond, they hold more. Their rows are an id, a size and a rank.
-MOST_SHARDS = 2000
-
 
 def apportion(weights: list[float], seats: int, most: list[int]) -> list[int]:
     """Seats by highest quotients weight / (2 * seats so far + 1), up to most for each; ties to the earlier.
@@ -73,22 +70,22 @@ class Mix:
         seats = total_tokens // block
         most = [int(-(-r["tokens"] * max(0, r["repeats"]) // block)) for r in have]
         quota = dict(zip([r["source"] for r in have], apportion([share[r["source"]] for r in have], seats, most)))
-        shards = {r["source"]: min(MOST_SHARDS, max(1, round(r["tokens"] / shard_tokens))) for r in have}
+        shards = {r["source"]: max(1, round(r["tokens"] / shard_tokens)) for r in have}
         self.total_tokens, self.quota, self._rows = total_tokens, quota, rows
 
         plan = spark.createDataFrame([(s, n, max(0, next(r["repeats"] for r in have if r["source"] == s))) for s, n in shards.items()], "source string, shards int, repeats int")
         placed = used.select("source", "id", "n_tokens").join(F.broadcast(plan), "source")
         order = F.xxhash64(F.lit(seed), F.col("id"))
         placed = placed.withColumn("shard", F.pmod(F.shiftright(order, 20), F.col("shards")).cast("int")).withColumn("at", order)
-        # at most MOST_SHARDS rows for each source with a target, at any size
-        sizes = placed.groupBy("source", "shard").agg(F.sum("n_tokens").alias("tokens")).orderBy("source", "shard").collect()
-        quotas = []
-        for s in quota:
-            own = [r for r in sizes if r["source"] == s]
-            repeats = next(r["repeats"] for r in have if r["source"] == s)
-            limit = [int(-(-r["tokens"] * repeats // block)) for r in own]
-            got = apportion([float(r["tokens"]) for r in own], quota[s], limit)
-            quotas += [(s, int(r["shard"]), int(g), int(r["tokens"])) for r, g in zip(own, got)]
+        # one row of three numbers for each shard_tokens tokens
+        sizes = placed.groupBy("source", "shard").agg(F.sum("n_tokens").alias("tokens")).orderBy("source", "shard").toPandas()
+        repeats = {r["source"]: max(0, r["repeats"]) for r in have}
+        quotas = [pd.DataFrame({"source": [], "shard": [], "blocks": [], "shard_tokens": []})]
+        for s, own in sizes.groupby("source"):
+            tokens = own["tokens"].tolist()
+            got = apportion([float(t) for t in tokens], quota[s], [int(-(-t * repeats[s] // block)) for t in tokens])
+            quotas.append(pd.DataFrame({"source": s, "shard": own["shard"], "blocks": got, "shard_tokens": tokens}))
+        quotas = pd.concat(quotas).astype({"source": object, "shard": "int32", "blocks": "int64", "shard_tokens": "int64"})
         quotas = spark.createDataFrame(quotas, "source string, shard int, blocks long, shard_tokens long")
 
         run = Window.partitionBy("source", "shard").orderBy("at", "id").rowsBetween(Window.unboundedPreceding, Window.currentRow)

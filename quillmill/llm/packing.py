@@ -182,18 +182,30 @@ def assign_containers(sizes: DataFrame, capacities: DataFrame, per_shard: int =
     each = capacities.agg(F.sort_array(F.collect_list(F.struct("capacity_id", "max_tokens"))).alias("c")).collect()[0]["c"]
     options = F.array(*[F.struct(F.lit(c["capacity_id"]).cast("int").alias("capacity_id"), F.lit(c["max_tokens"]).cast("long").alias("cap")) for c in each])
     rows = sizes.select("id", "n_tokens", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int").alias("shard"), F.explode(options).alias("c"))
-    pieces = F.greatest(F.lit(1), F.ceil(F.col("n_tokens") / F.col("c.cap"))).cast("int")
-    rows = rows.select("id", "shard", "c.capacity_id", "c.cap", "n_tokens", F.explode(F.sequence(F.lit(0), pieces - 1)).alias("piece"))
-    rows = rows.withColumn("size", F.least(F.col("cap"), F.col("n_tokens") - F.col("piece") * F.col("cap")))
+    # of an item larger than a container, each full piece fills one; only what is left over, at most cap, is packed with others
+    full = F.greatest(F.lit(0), F.ceil(F.col("n_tokens") / F.col("c.cap")) - 1).cast("long")
+    rows = rows.select("id", "shard", "c.capacity_id", "c.cap", "n_tokens", full.alias("full"))
 
     def fill(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["id", "piece"], ignore_index=True)
-        container = pack(pdf["size"].to_numpy(), int(pdf["cap"].iloc[0]), groups)
-        return pd.DataFrame(
-            {"capacity_id": pdf["capacity_id"], "id": pdf["id"], "piece": pdf["piece"], "n_tokens": pdf["size"], "container": container * shards + pdf["shard"].to_numpy(np.int64)}
-        )
-
-    return rows.groupBy("capacity_id", "shard").applyInPandas(fill, "capacity_id int, id long, piece int, n_tokens long, container long")
+        pdf = pdf.sort_values("id", ignore_index=True)
+        cap, full = int(pdf["cap"].iloc[0]), pdf["full"].to_numpy()
+        rest = pdf["n_tokens"].to_numpy() - full * cap
+        # coarse groups round more, fine ones leave fewer items for each place; the better of three is kept
+        last = min((pack(rest, cap, max(1, g)) for g in (groups // 3, 2 * groups // 3, groups)), key=lambda c: c.max(initial=-1))
+        first = last.max(initial=-1) + 1 + np.cumsum(full) - full
+        return pdf[["capacity_id", "id", "cap", "n_tokens", "full", "shard"]].assign(last=last, first=first)
+
+    filled = rows.groupBy("capacity_id", "shard").applyInPandas(
+        fill, "capacity_id int, id long, cap long, n_tokens long, full long, shard int, last long, first long"
+    )
+    whole = F.col("piece") < F.col("full")
+    return filled.select("*", F.explode(F.sequence(F.lit(0), F.col("full").cast("int"))).alias("piece")).select(
+        "capacity_id",
+        "id",
+        "piece",
+        F.when(whole, F.col("cap")).otherwise(F.col("n_tokens") - F.col("full") * F.col("cap")).alias("n_tokens"),
+        (F.when(whole, F.col("first") + F.col("piece")).otherwise(F.col("last")) * shards + F.col("shard")).alias("container"),
+    )
 
 
 def fill_report(packed: DataFrame, capacities: DataFrame) -> DataFrame:
