@@ -14,33 +14,13 @@ _BLANK = re.compile(r"\s+")
 _BLOCKS = {"p", "div", "section", "article", "ul", "ol", "table", "blockquote", "header", "footer", "en-note", "body"}
 
 
-class _Text(HTMLParser):
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.parts, self.hidden = [], 0
-
-    def handle_starttag(self, tag, attrs):
-        self.hidden += tag in ("script", "style")
-
-    def handle_endtag(self, tag):
-        if tag in ("script", "style") and self.hidden:
-            self.hidden -= 1
-
-    def handle_data(self, data):
-        if not self.hidden:
-            self.parts.append(data)
+#: What is no text: comments, scripts and styles up to their end or that of the document, declarations and tags.
+_NO_TEXT = re.compile(r"<!--.*?-->|<(script|style)\b.*?(?:</\1\s*>|\Z)|<[!/?]?[A-Za-z][^>]*>", re.S | re.I)
 
 
 def parsed_text(markup: str | None) -> str:
-    """Visible text; '' for null."""
-    if not markup:
-        return ""
-    if "<" not in markup:
-        return _BLANK.sub(" ", unescape(markup)).strip()
-    p = _Text()
-    p.feed(markup)
-    p.close()
-    return _BLANK.sub(" ", " ".join(p.parts)).strip()
+    """Visible text, with all entities of HTML; '' for null."""
+    return _BLANK.sub(" ", unescape(_NO_TEXT.sub(" ", markup))).strip() if markup else ""
 
 
 class _Markdown(HTMLParser):
@@ -50,6 +30,7 @@ class _Markdown(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.out: list[str] = []
         self.hidden = self.pre = self.cells = 0
+        self.code_divs = 0  # open divs of a code block, its own included
         self.lists: list[list] = []
         self.links: list[str | None] = []
         self.media = media
@@ -69,17 +50,17 @@ class _Markdown(HTMLParser):
             self.out.append("\n")
         elif tag == "hr":
             self.out.append("\n\n---\n\n")
-        elif tag in ("b", "strong"):
-            self.out.append("**")
-        elif tag in ("i", "em"):
-            self.out.append("*")
+        elif tag in ("b", "strong", "i", "em"):
+            if not self.pre:  # code has no emphasis
+                self.out.append("**" if tag in ("b", "strong") else "*")
         elif tag == "code" and not self.pre:
             self.out.append("`")
+        elif self.code_divs and tag == "div":
+            self.code_divs += 1
         elif tag == "pre" or (tag == "div" and "--en-codeblock:true" in (a.get("style") or "").replace(" ", "")):
             self.pre += 1
             self.out.append("\n\n```\n")
-            if tag == "div":
-                self.lists.append(["code", self.depth_of("div")])
+            self.code_divs = int(tag == "div")
         elif tag in ("ul", "ol"):
             self.lists.append([tag, 0])
             self._block()
@@ -110,9 +91,6 @@ class _Markdown(HTMLParser):
         elif tag in _BLOCKS:
             self._block()
 
-    def depth_of(self, tag):
-        return 0
-
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
         if tag in ("script", "style", "svg") or tag == "a":
@@ -126,17 +104,18 @@ class _Markdown(HTMLParser):
             return
         if re.fullmatch(r"h[1-6]", tag) or tag == "blockquote":
             self._block()
-        elif tag in ("b", "strong"):
-            self.out.append("**")
-        elif tag in ("i", "em"):
-            self.out.append("*")
+        elif tag in ("b", "strong", "i", "em"):
+            if not self.pre:  # code has no emphasis
+                self.out.append("**" if tag in ("b", "strong") else "*")
         elif tag == "code" and not self.pre:
             self.out.append("`")
-        elif tag == "pre" or (tag == "div" and self.lists and self.lists[-1][0] == "code"):
-            if tag == "div":
-                self.lists.pop()
+        elif self.code_divs > 1 and tag == "div":
+            self.code_divs -= 1
+            self.out.append("\n")
+        elif tag == "pre" or self.code_divs and tag == "div":
+            self.code_divs = 0
             self.pre = max(0, self.pre - 1)
-            self.out.append("\n```\n\n")
+            self.out.append("```\n\n" if self.out[-1].endswith("\n") else "\n```\n\n")
         elif tag in ("ul", "ol"):
             if self.lists and self.lists[-1][0] == tag:
                 self.lists.pop()

@@ -126,9 +126,14 @@ def count_marks(text: Column, marks: list[str]) -> Column:
     return total
 
 
+#: The mark of clipped content, and the bytes from which a clip is stored as a page of its own.
+CLIPPED = "--en-clipped-content"
+LARGE_CLIP = 200 * 1024
+
+
 def is_clip(markup: Column) -> Column:
     """Clipped from the web: marked so, or three or more layout tags."""
-    return markup.contains("--en-clipped-content") | (count_marks(markup, ["<div", "<span", "<script", "<style"]) >= 3)
+    return markup.contains(CLIPPED) | (count_marks(markup, ["<div", "<span", "<script", "<style"]) >= 3)
 
 
 def has_media(markup: Column) -> Column:
@@ -136,26 +141,29 @@ def has_media(markup: Column) -> Column:
 
 
 def markup_summary(markup: Column) -> list[Column]:
-    """What a note's markup consists of: six marks, three counts and its kind."""
-    head = F.lower(F.ltrim(markup))
+    """What a note's markup consists of: the tags it has, whether it was clipped, three counts and its kind. Null counts as empty.
+
+    All but the mark of clipping disregard letter case; counts are of the tag's opening letters, so '<p' counts '<pre' too.
+    """
+    markup = F.coalesce(markup, F.lit(""))
+    low = F.lower(markup)
+    has = lambda mark: low.contains(mark)
     return [
-        markup.startswith("<?xml").alias("has_xml_head"),
-        F.lower(markup).contains("<!doctype").alias("has_doctype"),
-        markup.contains("<en-note").alias("has_note_tag"),
-        markup.contains("<en-media").alias("has_media_tag"),
-        markup.contains("<en-todo").alias("has_todo_tag"),
-        markup.contains("--en-codeblock").alias("has_code_block"),
-        count_substring(markup, "<div").alias("divs"),
-        count_substring(markup, "<span").alias("spans"),
-        count_substring(markup, "<p>").alias("paragraphs"),
-        F.when(markup.contains("<en-note"), "note").when(head.rlike(r"^(<\?xml[^>]*>\s*)?(<!doctype html[^>]*>\s*)?<html"), "page").otherwise("fragment").alias("kind"),
+        has("<!doctype").alias("has_doctype"),
+        has("<html").alias("has_html_tags"),
+        has("<head").alias("has_head"),
+        has("<body").alias("has_body"),
+        has("<en-note").alias("has_en_note"),
+        markup.contains(CLIPPED).alias("en_clipped"),
+        *[count_substring(low, mark).alias(name) for mark, name in (("<div", "div_count"), ("<span", "span_count"), ("<p", "p_count"))],
+        F.when(has("<html") & has("<head") & has("<body"), "html").when(has("<en-note"), "enml").otherwise("fragment").alias("kind"),
     ]
 
 
-def note_type(markup: Column, size: Column, has_named_file: Column, large: int = 200_000) -> Column:
-    """How a note is stored: large clips as a page beside it, clips, notes with files, with media, or plain."""
+def note_type(markup: Column, size: Column, has_named_file: Column, large: int = LARGE_CLIP) -> Column:
+    """How a note is stored: clips, those marked as such and of at least large bytes as a page beside it, notes with files, with media, or plain."""
     return (
-        F.when(is_clip(markup) & (size >= large), "page_beside")
+        F.when(markup.contains(CLIPPED) & (size >= large), "page_beside")
         .when(is_clip(markup), "clip")
         .when(has_named_file, "with_files")
         .when(has_media(markup), "with_media")
@@ -239,47 +247,125 @@ def safe_filename(name: Column, longest: int = 120) -> Column:
 
 # ---- summaries of stored documents
 
-#: Starts of lines that carry no content.
-NO_CONTENT = r"^(#|>|!\[|\||```|---|===|\*\*\*|- \[|https?://|<|目录|来源|作者|原文|版权|点击|关注|扫码|阅读原文|本文|转载|图源|责任编辑|编辑|发布于|更新于)"
+#: Fixed values of summaries. A line that holds one of these patterns (in its plain form) is frame and no content.
+FRAME_PATTERNS = [
+    r"^(?:原文链接|原创|作者|来源)[:：]?",
+    r"^(?:编译|译者)\s*[|｜]",
+    r"^以下文章来源于",
+    r"^共\s*\d+\s*字.*阅读需\s*\d+\s*分钟",
+    r"^本文内容不构成.*(?:投资|财务).*建议",
+    r"^本文为.+原创内容",
+    r"我是.+专注于.+(?:分享|干货)",
+    r"无法收到推送",
+    r"(?:吴说Real|AgenticHub|聊AI)$",
+    r"^(?:本漫画作者@|相关[:：]|[，,]\s*已帮助|（?食材不保证真实性)",
+    r"^大家好(?:[，,]\s*我是|[。！!]?$)",
+    r"^先问大家一个问题",
+    r"^(?:引言|前言|序言)[:：]",
+    r"^\d{4}-\d{2}-\d{2}(?:[ T]\d{2}:\d{2}(?::\d{2})?)?$",
+    r"点击上方|设置星标|学习更多项目",
+]
+#: Words of which two together, or one with an offer, are advertising; and what a line that says FOLLOW asks for.
+ADVERTISING = ["学员", "总包", "上岸", "人才计划"]
+FOLLOW, FOLLOWED = "关注", r"公众号|开发者|获取|解锁"
+#: Starts of stripped lines, and of lines as they stand, that are no paragraph.
+NO_PARAGRAPH = r"^(?:<!--|#{1,6}\s|!\[|\||[-*+]\s|>\s|---+$|___+$)"
+INDENTED = r"^(?:    |\t)"
+#: Headings that belong to the frame of a stored note.
+FRAME_HEADINGS = ["附件", "相关笔记"]
+SENTENCE_ENDS = "。！？!?"
 
 
-def effective(line: Column, least: int = 12) -> Column:
-    """A line with content: long enough, no heading, quote, image, table, rule, link or boilerplate, no one repeated character."""
-    t = plain_markdown(line)
-    return (
-        (F.length(t) >= least)
-        & ~F.trim(line).rlike(NO_CONTENT)
-        & t.rlike(r"[\p{L}]")
-        & ~t.rlike(r"^(.)\1+$")
-        & ~t.rlike(r"^[\d\s:：./-]+$")
-    )
+_frame = re.compile("|".join(f"(?:{x})" for x in FRAME_PATTERNS))
+_no_paragraph, _indented, _followed = re.compile(NO_PARAGRAPH), re.compile(INDENTED), re.compile(FOLLOWED)
 
 
-def first_sentence(paragraph: Column, longest: int = 180) -> Column:
-    """Up to the first full stop, exclamation or question mark; cut with an ellipsis if it is longer."""
-    head = F.regexp_extract(paragraph, r"^(.*?[。！？!?])", 1)
-    s = F.when(head != "", head).otherwise(paragraph)
-    return F.when(F.length(s) > longest, F.concat(F.rtrim(F.substring(s, 1, longest)), F.lit("……"))).otherwise(s)
+def is_content(line: str, plain: str, least: int = 12) -> bool:
+    """A paragraph of at least least characters in its plain form, neither frame nor advertising, nor one phrase said twice."""
+    if len(plain) < least or _no_paragraph.match(line.strip()) or _indented.match(line) or _frame.search(plain):
+        return False
+    words = sum(w in plain for w in ADVERTISING)
+    if words >= 2 or words and "offer" in plain.lower() or FOLLOW in plain and _followed.search(plain):
+        return False
+    said = plain.rstrip("。")
+    half = len(said) // 2  # blanks are single here, so twice the same phrase has one blank in the middle
+    return not (len(said) % 2 and 2 <= half <= 40 and said[half] == " " and said[:half] == said[half + 1 :])
 
 
-#: Headings that belong to the frame of a stored note.
-FRAME_HEADINGS = ["附件", "相关笔记"]
+_image, _link, _marks, _space = re.compile(r"!\[[^\]]*\]\([^)]*\)"), re.compile(r"\[([^\]]*)\]\([^)]*\)"), re.compile(r"[*_`~]"), re.compile(r"\s+")
+
+
+def _plain(text: str) -> str:
+    """plain_markdown() of one value."""
+    return _space.sub(" ", _marks.sub("", _link.sub(r"\1", _image.sub("", text)))).strip()
+
+
+def first_content(body: Column) -> Column:
+    """The plain form of the first line with content, or null. Most bodies are decided by their first lines, so one Arrow pass beats
+    expressions, which would test every line."""
+
+    @F.pandas_udf("string")
+    def first(bodies: pd.Series) -> pd.Series:
+        found = []
+        for text in bodies:
+            lines = text.splitlines() if text else ()
+            found.append(next((p for p, line in ((_plain(x), x) for x in lines) if is_content(line, p)), None))
+        return pd.Series(found, index=bodies.index, dtype=object)
+
+    return first(body)
+
+
+def first_sentence(paragraph: Column, longest: int = 180) -> Column:
+    """Up to the first full stop, exclamation or question mark. A longer one is cut, one without an end gets a full stop."""
+    head = F.regexp_extract(paragraph, rf"^(.+?[{SENTENCE_ENDS}])", 1)
+    s = F.when(head != "", head).otherwise(paragraph)
+    cut = F.concat(F.regexp_replace(F.substring(s, 1, longest), rf"[，,；;：:{SENTENCE_ENDS} ]+$", ""), F.lit("。"))
+    open_end = (s != "") & ~s.rlike(rf"[{SENTENCE_ENDS}]$")
+    return F.when(F.length(s) > longest, cut).when(open_end, F.concat(F.regexp_replace(s, "[：:]+$", ""), F.lit("。"))).otherwise(s)
 
 
 def outline(body: Column, most: int = 4) -> Column:
-    """The first different headings of level 2 and 3, without leading numbers."""
-    heads = F.filter(F.split(body, r"\r?\n"), lambda x: x.rlike(r"^#{2,3} +\S"))
-    names = F.transform(heads, lambda x: plain_markdown(F.regexp_replace(F.regexp_replace(x, r"^#+ +", ""), r"^[0-9一二三四五六七八九十]+[.、．)）] *", "")))
+    """The first different headings of level 2 and 3, without leading numbers and closing marks."""
+    heads = F.filter(F.transform(F.split(body, r"\r?\n"), strip), lambda x: x.rlike(r"^#{2,3}\s+\S"))
+    plain = lambda x: plain_markdown(F.regexp_replace(F.regexp_replace(x, r"^#{2,3}\s+", ""), r"(?<=\S)\s*#*\s*$", ""))
+    names = F.transform(heads, lambda x: F.regexp_replace(F.regexp_replace(plain(x), r"^\d+(?:\.\d+)*[.、]?\s*", ""), r"^\\\.\s*", ""))
     names = F.filter(names, lambda x: (x != "") & ~x.isin(FRAME_HEADINGS))
     return F.slice(F.array_distinct(names), 1, most)
 
 
-def note_summary(text: Column) -> Column:
-    """First sentence of the first line with content, then the outline; a remark for notes of images only."""
+def note_summary(text: Column, title: Column) -> Column:
+    """The first sentence with content and the outline in one or two sentences; another sentence for notes without content."""
     body = body_of(text)
-    lines = F.filter(F.split(body, r"\r?\n"), lambda x: effective(F.regexp_replace(x, r"^\s*(?:[-*+]|\d+[.)]) +", "")))
-    first = F.regexp_replace(F.get(lines, F.lit(0)), r"^\s*(?:[-*+]|\d+[.)]) +", "")
     heads = outline(body)
-    tail = F.when(F.size(heads) > 0, F.concat(F.lit("要点："), F.concat_ws("；", heads)))
-    said = F.concat_ws(" ", first_sentence(plain_markdown(first)), tail)
-    return F.when(said != "", said).when(body.rlike(r"!\[[^\]]*\]\("), "图片笔记").otherwise("")
+    about = F.concat(F.lit("本文目录包括"), F.array_join(F.transform(heads, lambda h: F.concat(F.lit("“"), h, F.lit("”"))), "、"), F.lit("等内容。"))
+    said = F.concat(first_sentence(first_content(body)), F.when(F.size(heads) > 0, about).otherwise(""))
+    return F.coalesce(said, F.concat(F.lit("该笔记主要以图片形式呈现“"), title, F.lit("”相关内容。")))
+
+
+def first_effective_line(body: Column, longest: int = 120) -> Column:
+    """The first line that is no heading, image, quote or rule, up to longest characters; a fixed remark without one."""
+    lines = F.filter(F.transform(F.split(body, r"\r?\n"), strip), lambda x: (x != "") & ~x.rlike(r"^(?:#|!\[|>|---)"))
+    return F.coalesce(F.substring(F.get(lines, F.lit(0)), 1, longest), F.lit("暂无摘要"))
+
+
+def plain_note(markup: Column) -> Column:
+    """Markdown of a plain note: its frame goes, breaks, paragraphs, lists, headings and links are rewritten, emphasis is dropped. Null gives ''."""
+    t = F.coalesce(markup, F.lit(""))
+    steps = [
+        (r"<\?xml[^?]*\?>", ""),
+        (r"<!DOCTYPE[^>]*>", ""),
+        (r"<en-note[^>]*>|</en-note>", ""),
+        (r"<br/?>", "\n"),
+        (r"<p[^>]*>", ""),
+        (r"</p>", "\n\n"),
+        (r"<li[^>]*>", "- "),
+        (r"</li>", "\n"),
+        *[(rf"(?s)<{tag}[^>]*>(.*?)</{tag}>", "$1") for tag in ("b", "strong", "i", "em", "u")],
+        *[(rf"(?s)<h{n}[^>]*>(.*?)</h{n}>", "#" * n + " $1\n") for n in (1, 2, 3)],
+        (r"""(?is)<a\b[^>]*\bhref\s*=\s*["']([^"']*)["'][^>]*>(.*?)</a>""", "[$2]($1)"),
+    ]
+    for pattern, to in steps:
+        t = F.regexp_replace(t, pattern, to)
+    for name, char in ENTITIES:
+        t = F.replace(t, F.lit(name), F.lit(char))
+    return strip(F.regexp_replace(t, r"\n{3,}", "\n\n"))

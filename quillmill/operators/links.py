@@ -108,19 +108,33 @@ def folder(path: Column) -> Column:
     return F.regexp_replace(path, r"/?[^/]*$", "")
 
 
+#: A file name with an ending: a dot that is neither its first nor its last character.
+_ENDING = r"[^/]\.[^./]+$"
+
+
+def decoded(target: Column) -> Column:
+    """Forward slashes, percent signs decoded; a target that can't be decoded stays as it is."""
+    t = F.regexp_replace(target, r"\\", "/")
+    return F.coalesce(F.try_url_decode(F.replace(t, F.lit("+"), F.lit("%2B"))), t)
+
+
 def resolve(links: DataFrame, files: DataFrame) -> DataFrame:
     """links (src, src_path, target) with resolved and reason, against files (path).
 
-    Tried in turn: the target beside the source, from the root, and as the unique name of a document. reason: relative, root, name, ambiguous, missing, outside.
+    Targets are decoded, and one without an ending means a .md file. Tried in turn: beside the source, from the root, and, for a bare name
+    without folders and ending only, the unique document of that name. reason: relative, root, name, ambiguous, missing, outside. Null targets are missing.
     """
     paths = files.select("path").where("path is not null").distinct()
-    with_md = F.when(F.col("target").rlike(r"\.[A-Za-z0-9]{1,5}$"), F.col("target")).otherwise(F.concat("target", F.lit(".md")))
+    t = decoded(F.col("target"))
+    out = links.withColumn("_t", t).withColumn("_ending", F.coalesce(F.col("_t").rlike(_ENDING), F.lit(False)))
+    with_md = F.when(F.col("_ending"), F.col("_t")).otherwise(F.concat("_t", F.lit(".md")))
     beside = F.when(folder(F.col("src_path")) == "", with_md).otherwise(F.concat_ws("/", folder(F.col("src_path")), with_md))
-    outside = F.col("target").rlike(r"(^|/)\.\.(/|$)|^/|^[A-Za-z]:")
-    out = links.withColumns({"_beside": beside, "_root": with_md, "_stem": stem(F.col("target")), "_outside": outside})
+    bare = ~F.col("_t").contains("/") & ~F.col("_ending")
+    outside = F.coalesce(F.col("_t").rlike(r"(^|/)\.\.(/|$)|^/"), F.lit(False))
+    out = out.withColumns({"_beside": beside, "_root": with_md, "_stem": F.when(bare, F.col("_t")), "_outside": outside})
     out = out.join(paths.select(F.col("path").alias("_beside"), F.lit(True).alias("_r")), "_beside", "left")
     out = out.join(paths.select(F.col("path").alias("_root"), F.lit(True).alias("_o")), "_root", "left")
-    names = paths.groupBy(stem(F.col("path")).alias("_stem")).agg(F.count("*").alias("_n"), F.min("path").alias("_only"))
+    names = paths.where(F.lower("path").endswith(".md")).groupBy(stem(F.col("path")).alias("_stem")).agg(F.count("*").alias("_n"), F.min("path").alias("_only"))
     out = out.join(names, "_stem", "left")
     reason = F.when(F.col("_outside"), "outside").when(F.col("_r"), "relative").when(F.col("_o"), "root").when(F.col("_n") == 1, "name").when(F.col("_n") > 1, "ambiguous").otherwise("missing")
     out = out.withColumn("reason", reason)

@@ -57,14 +57,17 @@ def term_matrix(docs: DataFrame, id_col: str, text: Column, terms: list[str], ru
 
 
 def term_matrix_native(docs: DataFrame, id_col: str, text: Column, registry: Registry) -> DataFrame:
-    """term_matrix() by the narrow rule without Python: for small registries."""
-    terms = registry.frame(docs.sparkSession).select(F.lower("term").alias("term")).distinct()
-    runs = F.col("term").rlike("^[a-z0-9]+$")
-    n = F.when(runs, F.regexp_count("text", F.concat(F.lit("(?<![a-z0-9])"), F.col("term"), F.lit("(?![a-z0-9])")))).otherwise(
-        ((F.length("text") - F.length(F.replace("text", "term", F.lit("")))) / F.length("term")).cast("int")
-    )
-    pairs = docs.select(F.col(id_col).alias("id"), fold(text).alias("text")).join(F.broadcast(terms), F.expr("contains(text, term)"))
-    return pairs.select("id", "term", n.cast("int").alias("n")).where("n > 0")
+    """term_matrix() by the narrow rule without Python: for small registries. Each term is an expression with a fixed pattern over the
+    row's own text, so no row is multiplied before a term has hit."""
+    found = []
+    for term in dict.fromkeys(t.lower() for *_, t in registry.terms()):
+        if re.fullmatch("[a-z0-9]+", term):
+            n = F.regexp_count("text", F.lit(f"(?<![a-z0-9]){term}(?![a-z0-9])"))
+        else:
+            n = ((F.length("text") - F.length(F.replace("text", F.lit(term), F.lit("")))) / len(term)).cast("int")
+        found.append(F.when(F.col("text").contains(term), F.struct(F.lit(term).alias("term"), n.cast("int").alias("n"))))
+    texts = docs.select(F.col(id_col).alias("id"), fold(text).alias("text"))
+    return texts.select("id", F.explode(F.filter(F.array(*found), lambda x: x.isNotNull() & (x["n"] > 0))).alias("x")).select("id", "x.term", "x.n")
 
 
 def gate_scores(matrix: DataFrame, registry: Registry) -> DataFrame:

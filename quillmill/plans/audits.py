@@ -107,16 +107,33 @@ def link_blocks(spark: SparkSession, d: str) -> DataFrame:
     return links.link_block(_links(spark, d))
 
 
-@query(r"""WITH p AS (SELECT DISTINCT path FROM documents WHERE path IS NOT NULL), s AS (SELECT regexp_replace(regexp_replace(path, '^.*/', ''), '\.md$', '') AS name, count(*) AS n, min(path) AS only FROM p GROUP BY 1),
-l AS (SELECT doc_id, path, coalesce(domain, '') || '/' || title AS target, regexp_replace(title, '^.*/', '') AS name FROM documents WHERE path IS NOT NULL AND NOT regexp_matches(title, '\.[A-Za-z0-9]{1,5}$'))
-SELECT l.doc_id, CASE WHEN regexp_matches(target, '(^|/)\.\.(/|$)|^/|^[A-Za-z]:') THEN 'outside' WHEN regexp_replace(l.path, '/?[^/]*$', '') || '/' || target || '.md' IN (SELECT path FROM p) THEN 'relative'
-  WHEN target || '.md' IN (SELECT path FROM p) THEN 'root' WHEN s.n = 1 THEN 'name' WHEN s.n > 1 THEN 'ambiguous' ELSE 'missing' END AS reason
-FROM l LEFT JOIN s ON l.name = s.name""")
+_RESOLVED = r"""p AS (SELECT DISTINCT path FROM documents WHERE path IS NOT NULL),
+s AS (SELECT regexp_replace(regexp_replace(path, '^.*/', ''), '(?i)\.md$', '') AS name, count(*) AS n FROM p WHERE ends_with(lower(path), '.md') GROUP BY 1),
+t AS (SELECT *, regexp_matches(u, '[^/]\.[^./]+$') AS ending, regexp_replace(coalesce(path, ''), '/?[^/]*$', '') AS dir FROM (SELECT *, url_decode(replace(replace(target, '\', '/'), '+', '%2B')) AS u FROM l)),
+m AS (SELECT *, CASE WHEN ending THEN u ELSE u || '.md' END AS full_name FROM t),
+resolved AS (SELECT m.*, CASE WHEN regexp_matches(u, '(^|/)\.\.(/|$)|^/') THEN 'outside' WHEN CASE WHEN dir = '' THEN full_name ELSE dir || '/' || full_name END IN (SELECT path FROM p) THEN 'relative'
+  WHEN full_name IN (SELECT path FROM p) THEN 'root' WHEN s.n = 1 THEN 'name' WHEN s.n > 1 THEN 'ambiguous' ELSE 'missing' END AS reason
+  FROM m LEFT JOIN s ON s.name = CASE WHEN NOT contains(u, '/') AND NOT ending THEN u END)"""
+
+
+@query(rf"""WITH l AS (SELECT doc_id, path, title AS target FROM documents UNION ALL SELECT doc_id, path, split_part(replace(path, '/', '\'), '.md', 1) FROM documents WHERE path IS NOT NULL),
+{_RESOLVED} SELECT doc_id, target, reason, count(*) AS n FROM resolved GROUP BY 1, 2, 3""")
 def link_resolution(spark: SparkSession, d: str) -> DataFrame:
-    """Links to titles in the domain's folder, resolved beside, from the root, or by unique name."""
-    x = docs(spark, d).where("path is not null").where(~F.col("title").rlike(r"\.[A-Za-z0-9]{1,5}$"))
-    l = x.select("doc_id", F.col("path").alias("src_path"), F.concat(F.coalesce("domain", F.lit("")), F.lit("/"), "title").alias("target"))  # noqa: E741
-    return links.resolve(l, docs(spark, d).select("path")).select("doc_id", "reason")
+    """Links from each document to every title as a bare name, and to its own path with turned slashes and no ending."""
+    x = docs(spark, d)
+    own = x.where("path is not null").select("doc_id", F.col("path").alias("src_path"), F.split_part(F.replace("path", F.lit("/"), F.lit("\\")), F.lit(".md"), F.lit(1)).alias("target"))
+    l = x.select("doc_id", F.col("path").alias("src_path"), F.col("title").alias("target")).unionByName(own)  # noqa: E741
+    return links.resolve(l, x.select("path")).groupBy("doc_id", "target", "reason").agg(F.count("*").alias("n"))
+
+
+@query(rf"""WITH {_EDGES}, l AS (SELECT doc_id, path, target FROM edges WHERE NOT regexp_matches(target, '^[a-z]+:')), {_RESOLVED}
+SELECT doc_id, target, reason, count(*) AS n FROM resolved GROUP BY 1, 2, 3""")
+def reference_resolution(spark: SparkSession, d: str) -> DataFrame:
+    """The local references of the texts, resolved against the stored documents."""
+    x = docs(spark, d)
+    e = links.edges_native(x, "doc_id", "text").where(~F.col("target").rlike("^[a-z]+:"))
+    l = e.join(x.select(F.col("doc_id").alias("src"), F.col("path").alias("src_path")), "src").select(F.col("src").alias("doc_id"), "src_path", "target")  # noqa: E741
+    return links.resolve(l, x.select("path")).groupBy("doc_id", "target", "reason").agg(F.count("*").alias("n"))
 
 
 @query(r"""SELECT doc_id, CASE WHEN ends_with(lower(regexp_replace(split_part(title, '|', 1), '^[\s\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+|[\s\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+$', '', 'g')), '.md') THEN regexp_replace(split_part(title, '|', 1), '^[\s\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+|[\s\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+$', '', 'g') ELSE regexp_replace(regexp_replace(split_part(title, '|', 1), '^[\s\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+|[\s\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+$', '', 'g'), '#.*$', '') END AS target FROM documents""")

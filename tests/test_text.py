@@ -55,9 +55,37 @@ def test_names_and_summaries(spark):
     assert len(long) == 120 and long.endswith(".md")
     assert one(spark, "短。", T.cache_summary) == "短。"
     assert one(spark, "字" * 359 + "，；尾", T.cache_summary) == "字" * 359 + "……"
-    assert one(spark, "# H\n\n这是一句足够长的正文内容，请看。然后还有。\n\n## 1. 第一节\n\n## 附件\n", T.note_summary) == "这是一句足够长的正文内容，请看。 要点：第一节"
-    assert one(spark, "![x](a.png)", T.note_summary) == "图片笔记"
-    assert one(spark, "==========", T.note_summary) == ""
+
+
+def test_note_summaries(spark):
+    """Expected sentences as the operator's definition gives them, case by case."""
+    summary = lambda text: one(spark, text, lambda c: T.note_summary(c, F.lit("题"))).replace("\n", "|")
+    assert summary("# H\n\n这是一句足够长的正文内容，请看。然后还有。\n\n## 1. 第一节\n\n### 2.1、 第二节 ##\n## 附件\n") == "这是一句足够长的正文内容，请看。本文目录包括“第一节”、“第二节”等内容。"
+    assert summary("![x](a.png)") == summary("==========") == summary("") == "该笔记主要以图片形式呈现“题”相关内容。"
+    assert summary("这一段没有句号但是足够长了：") == "这一段没有句号但是足够长了。"
+    assert summary("字" * 200) == "字" * 180 + "。"
+    assert summary("字" * 179 + "，尾巴很长") == "字" * 179 + "。"
+    frame = ["来源：某某出版社的长长的名字", "共 1200 字，阅读需 4 分钟左右吧", "2024-01-01 12:00:00", "同一个短语而已 同一个短语而已。", "学员上岸啦，欢迎大家都来看看吧", "关注公众号获取更多的资料和内容", "> 引用的一行引用的一行引用的一行", "    缩进的代码缩进的代码缩进的代码", "短句"]
+    for line in frame:
+        assert summary(line + "\n正文在这里，它有足够的长度。") == "正文在这里，它有足够的长度。", line
+    assert one(spark, "# a\n\n> q\n  " + "x" * 130, T.first_effective_line) == "x" * 120 and one(spark, "# a", T.first_effective_line) == "暂无摘要"
+
+
+def test_plain_notes(spark):
+    note = '<?xml version="1.0"?><!DOCTYPE en-note><en-note a="b"><h2>T</h2><p>a <b>b</b>&nbsp;<a href="u">l</a></p><ul><li>x</li></ul>1<br/>2</en-note>'
+    assert one(spark, note, T.plain_note) == "## T\na b\xa0[l](u)\n\n<ul>- x\n</ul>1\n2"
+    assert one(spark, None, T.plain_note) == ""
+
+
+def test_code_blocks():
+    html = '<div style="--en-codeblock:true"><div>a = 1</div><div>b = <i>2</i></div></div><div>after</div>'
+    assert M.to_markdown(html) == "```\na = 1\nb = 2\n```\n\nafter"
+    assert M.parsed_text("<p>a&lt;b</p><SCRIPT>x</script ><style>y<!-- z -->") == "a<b"
+
+
+def test_markup_kinds(spark):
+    got = spark.createDataFrame([("<HTML><Head></head><body><pre><p>",), ("<en-note><div>",), (None,)], "x string").select(*T.markup_summary(F.col("x"))).collect()
+    assert [r["kind"] for r in got] == ["html", "enml", "fragment"] and got[0]["p_count"] == 2 and got[1]["div_count"] == 1 and not got[2]["has_body"]
 
 
 def test_markdown():
