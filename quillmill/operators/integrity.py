@@ -82,6 +82,25 @@ def selection(docs: DataFrame, cache: DataFrame, allowed: list[str], since, unti
     return issues(j.withColumn("kind", F.explode(F.filter(codes, lambda x: x.isNotNull()))), F.col("kind"), F.col("guid"))
 
 
+def export_codes(docs: DataFrame, allowed: list[str], since, until, mode: str) -> DataFrame:
+    """docs (guid, domain, path, created, type, expected) joined with the newest cached selection c (h: its hash, o: outcome, p: path, null
+    without one), its keywords ks and terms ts (arrays, null where they can't be read): one row for each code that holds.
+    """
+    outside = lambda xs, ys: F.size(F.array_except(xs, ys)) > 0
+    when = {
+        "out_of_range_article": ~((F.col("created") >= F.lit(since)) & (F.col("created") < F.lit(until))),
+        "selection_mode_mismatch": ~F.col("type").eqNullSafe(F.lit(mode)),
+        "selection_hash_mismatch": F.col("c.h") != F.col("expected"),
+        "matched_keywords_invalid": outside("ks", F.array(*[F.lit(a) for a in allowed])),
+        "missing_keyword_cache": F.col("c").isNull(),
+        "unexpected_canonical_file": F.col("c.o") != "accepted",
+        "canonical_path_mismatch": (F.col("c.o") == "accepted") & (F.col("c.p") != F.col("path")),
+        "matched_keywords_mismatch": outside("ks", "ts"),
+    }
+    codes = F.filter(F.array(*[F.when(c, k) for k, c in when.items()]), lambda x: x.isNotNull())
+    return issues(docs.withColumn("kind", F.explode(codes)), F.col("kind"), F.col("guid"))
+
+
 def properties(docs: DataFrame, allowed: dict[str, list[str]]) -> DataFrame:
     """docs (domain, path, fields map): required fields that are missing or have a value that is not allowed."""
     found = F.array(

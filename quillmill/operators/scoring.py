@@ -157,3 +157,16 @@ def field_scores(title: DataFrame, body: DataFrame, registry: Registry, title_we
         F.count_if(core & ~in_title).cast("int").alias("body_cores"),
         F.count_distinct(F.when(core, F.col("key"))).cast("int").alias("cores"),
     )
+
+
+def analyses(bodies: DataFrame, scores: DataFrame) -> DataFrame:
+    """bodies (id, body, ...) with scores and evidence, arrays of (domain, value) in the registry's order, and labels, the eligible domains.
+
+    scores: gate_scores(). A body without any term has empty arrays. At most one entry for each domain of the registry.
+    """
+    entries = F.array_sort(F.collect_list(F.struct("ord", "domain", "score", "evidence", "eligible")))
+    g = scores.groupBy("id").agg(entries.alias("_e"))
+    e = F.coalesce("_e", F.array().cast("array<struct<ord:int,domain:string,score:int,evidence:string,eligible:boolean>>"))
+    pick = lambda name: F.transform("_e", lambda x: F.struct(x["domain"].alias("domain"), x[name].alias("value")))
+    j = bodies.join(g, "id", "left").withColumn("_e", e)
+    return j.withColumns({"scores": pick("score"), "evidence": pick("evidence"), "labels": F.transform(F.filter("_e", lambda x: x["eligible"]), lambda x: x["domain"])}).drop("_e")

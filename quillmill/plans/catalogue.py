@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillmill.plans import audits, joins, matching, scans, texts  # noqa: F401  (they register their queries)
+from quillmill.plans import audits, joins, matching, reports, scans, texts  # noqa: F401  (they register their queries)
 from quillmill.plans.base import QUERIES, SQL
 
 

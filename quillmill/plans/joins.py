@@ -118,13 +118,17 @@ def catalog_upsert(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-WITH o AS (SELECT guid, selection_hash, outcome, first_fetched_at, updated_ms FROM keyword_analyses),
-f AS (SELECT *, row_number() OVER (PARTITION BY guid, selection_hash ORDER BY updated_ms DESC, outcome DESC NULLS LAST, first_fetched_at DESC NULLS LAST) AS r FROM o)
-SELECT guid, selection_hash, updated_ms, outcome, first_fetched_at FROM f WHERE r = 1""")
+WITH k AS (SELECT guid, selection_hash, outcome, first_fetched_at, updated_ms, last_seen_at >= '2026' AS fresh FROM keyword_analyses),
+f AS (SELECT *, row_number() OVER (PARTITION BY fresh, guid, selection_hash ORDER BY updated_ms DESC, outcome DESC NULLS LAST, first_fetched_at DESC NULLS LAST) AS r FROM k),
+n AS (SELECT * FROM f WHERE r = 1 AND fresh), o AS (SELECT * FROM f WHERE r = 1 AND NOT fresh)
+SELECT coalesce(n.guid, o.guid) AS guid, coalesce(n.selection_hash, o.selection_hash) AS selection_hash, CASE WHEN n.guid IS NULL THEN o.updated_ms ELSE n.updated_ms END AS updated_ms,
+  CASE WHEN n.guid IS NULL THEN o.outcome ELSE n.outcome END AS outcome, coalesce(o.first_fetched_at, n.first_fetched_at) AS first_fetched_at FROM n FULL JOIN o ON n.guid = o.guid AND n.selection_hash = o.selection_hash""")
 def keyword_upsert(spark: SparkSession, d: str) -> DataFrame:
-    """A catalog with a key of two columns, from its own repeated rows."""
-    rows = read(spark, d, "keyword_analyses").select("guid", "selection_hash", "updated_ms", "outcome", "first_fetched_at")
-    return catalog.upsert(rows.limit(0), rows, ["guid", "selection_hash"], ["first_fetched_at"], ["updated_ms"])
+    """A catalog with a key of two columns: the rows seen since 2026 upserted into those seen before."""
+    rows = read(spark, d, "keyword_analyses")
+    part = lambda cond: rows.where(cond).select("guid", "selection_hash", "updated_ms", "outcome", "first_fetched_at")
+    fresh = F.col("last_seen_at") >= "2026"
+    return catalog.upsert(part(~fresh), part(fresh), ["guid", "selection_hash"], ["first_fetched_at"], ["updated_ms"])
 
 
 @query("""SELECT guid, updated_ms, CASE WHEN guid IN (SELECT guid FROM incoming_notes) THEN '2026-09-01T00:00:00Z' ELSE last_seen_at END AS last_seen_at FROM parsed_notes""")
