@@ -70,9 +70,16 @@ def gate_then_dedup(ranked: DataFrame, matched: DataFrame, limit: int | None) ->
 
 def claim_titles(df: DataFrame, claims: Column, title: str = "title") -> DataFrame:
     """df with outcome: in freshness order the first claiming row of each stripped title is accepted, later claimers are
-    duplicate_title, the others rejected (they don't claim the title)."""
-    w = Window.partitionBy(strip(F.col(title)), claims).orderBy(*[F.desc(c) for c in FRESH])
-    return df.withColumn("outcome", F.when(~claims, "rejected").when(F.row_number().over(w) == 1, "accepted").otherwise("duplicate_title"))
+    duplicate_title, the others rejected (they don't claim the title). Null titles are one title.
+
+    The winner is a maximum, made in partial aggregates, so a hot title is never sorted. Guids are unique; a row that repeats its
+    winner's whole freshness is accepted with it.
+    """
+    marked = df.withColumns({"_t": strip(F.col(title)), "_claims": F.coalesce(claims, F.lit(False)), "_fresh": F.struct(*FRESH)})
+    winners = marked.where("_claims").groupBy("_t").agg(F.max("_fresh").alias("_winner")).withColumnRenamed("_t", "_w")
+    j = marked.join(winners, F.col("_t").eqNullSafe(F.col("_w")), "left")
+    outcome = F.when(~F.col("_claims"), "rejected").when(F.col("_fresh").eqNullSafe(F.col("_winner")), "accepted").otherwise("duplicate_title")
+    return j.withColumn("outcome", outcome).select(*[c for c in df.columns if c != "outcome"], "outcome")
 
 
 def canonical_names(df: DataFrame, group: list[str], name: Column) -> DataFrame:
