@@ -436,3 +436,13 @@ def run_report(spark: SparkSession, d: str) -> DataFrame:
     moves = joins.final_paths(spark, d).where("path <> final").agg(F.count("*").alias("moves"))
     row = n.crossJoin(notes).crossJoin(moves).withColumn("ok", F.col("moves") == 0)  # one row each
     return row.select(F.to_json(F.struct("documents", "notes", "accepted", "moves", "ok")).alias("report"))
+
+
+@query("""WITH x AS (SELECT doc_id, domain, strftime(created, '%Y年%m月') AS month, title, path, created FROM documents WHERE domain IS NOT NULL AND path IS NOT NULL AND created IS NOT NULL)
+SELECT domain, month, row_number() OVER (ORDER BY domain, month, created DESC, title, path, doc_id) AS place, '- [[' || path || '|' || title || ']]' AS line FROM x""")
+def month_index_lines(spark: SparkSession, d: str) -> DataFrame:
+    """The lines of all month indexes in their order, one row each: no month is ever held in one row."""
+    x = docs(spark, d).where("domain is not null and path is not null and created is not null").withColumn("month", T.month_folder(F.col("created")))
+    x = x.select("doc_id", "domain", "month", "title", "path", "created")
+    placed = reports.numbered(x, F.col("domain"), F.col("month"), F.desc("created"), F.col("title"), F.col("path"), F.col("doc_id"))
+    return placed.select("domain", "month", "place", F.concat(F.lit("- [["), "path", F.lit("|"), "title", F.lit("]]")).alias("line"))
