@@ -1,6 +1,7 @@
 import random
 import unicodedata
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from quillmill.llm import linkage, spans, survivor
@@ -251,6 +252,47 @@ def test_a_known_block_against_brute_force():
             assert sorted(linkage.KnownBlock(texts).holding(new, share).tolist()) == [i for i, t in enumerate(texts) if linkage.is_contained(new, t, share)]
 
 
+def test_bounds_of_several_words_lose_nothing():
+    """Letters of long texts fill several words: what one word passes on counts, and so do texts with too many places."""
+    rng = random.Random(24)
+    letters = "eeeeeeetttttaaaaooooiiinnnssshhrrddllcumfpgwybvk0123456789"
+    text = lambda n: "".join(rng.choice(letters) for _ in range(n))
+    cut = lambda t, share: "".join(c for c in t if rng.random() < share)
+    texts = [text(rng.randrange(150, 420)) for _ in range(200)] + ["bvkw" * 300, "e" * 900]
+    block = linkage.KnownBlock(texts)
+    assert len(block.levels[-1][1]) > 1
+    for level, (masks, full, beyond) in enumerate(block.levels):
+        new = cut(text(250), 0.9)
+        mine = [block.code[c] for c in new if block.code.get(c) in masks]
+        got = block._missed(level, mine, np.arange(len(texts)))
+        read = lambda t: "".join(c for c in t if block.code.get(c) in masks)
+        want = [len(mine) - lcs(read(new), read(texts[i])) for i in block.order]
+        assert [g for g, b in zip(got, beyond) if not b] == [w for w, b in zip(want, beyond) if not b]
+    for _ in range(12):
+        new = "".join(c for c in rng.choice(texts) if rng.random() < 0.9) + text(rng.randrange(40))
+        for share in (0.8, 0.9):
+            assert sorted(block.holding(new, share).tolist()) == [i for i, t in enumerate(texts) if linkage.is_contained(new, t, share)]
+
+
+def test_few_texts_are_compared_exactly(monkeypatch):
+    """Texts of a small alphabet, the known ones half as long again, so that they hold enough of nearly all letters."""
+    rng = random.Random(25)
+    letters = "eeeeeeeettttttaaaaaooooooiiiinnnnsssshhhhrrrrdddllllccuummffppggwwyybbvk"
+    text = lambda n: "".join(rng.choice(letters) for _ in range(n))
+    block = linkage.KnownBlock([text(rng.randrange(330, 380)) for _ in range(600)])
+    compared = []
+    monkeypatch.setattr(linkage.KnownBlock, "_exactly", lambda self, new, live, need: compared.append(len(live)) or live[:0])
+    list(block.each_holding([text(220) for _ in range(20)], 0.9))
+    assert sum(compared) < 20 * 600 / 100
+
+
+def test_each_cell_of_a_sweep_has_a_task(spark):
+    for n in (1, 12, 45):
+        parts, key = linkage._cells(spark, n, F.col("id"))
+        rows = spark.range(n).withColumn("cell", key).repartition(parts, "cell").select(F.spark_partition_id().alias("p"), "cell").collect()
+        assert len({r["p"] for r in rows}) == len({r["cell"] for r in rows}) == n == parts
+
+
 def test_a_family_of_edited_copies(spark, monkeypatch):
     """Members of a family meet its earliest one, not each other, and none is lost."""
     monkeypatch.setattr(linkage, "FAMILY", 10)
