@@ -149,6 +149,19 @@ def test_subjects_on_held_out_labels(spark):
     assert table.count() == len({r[0] for r in rows + dirty if r[0]})
 
 
+def test_all_labelled_notes_are_seeds_and_set_the_thresholds(spark):
+    n = 20_500
+    kind = F.when(F.col("id") % 2 == 0, "A").otherwise("B")
+    title = F.when(F.col("id") % 2 == 0, "atom laser").otherwise("violin sonata")
+    notes = spark.range(n).select(F.concat(F.lit("g"), "id").alias("guid"), title.alias("title"), title.alias("summary"), F.lit(None).cast("string").alias("primary_domain"), F.lit(None).cast("string").alias("domain_labels_json"))
+    labels = spark.range(n).select(F.concat(F.lit("g"), "id").alias("guid"), kind.alias("subject"))
+    table = subjects.prepare(notes, labels, ["A", "B"])
+    assert table.where("seed >= 0").count() == n
+    model = subjects.fit(table, labels, ["A", "B"], rank=4, over=2)
+    assert model.calibration["labelled"] == n and model.calibration["f1"] == 1.0
+    assert model.moved[-1] <= 1e-3
+
+
 def test_terms_round_trip():
     texts = ["Title here\nOne two. 三个汉字！", "\n", "x\ny"]
     seg, bucket, of_text = subjects.terms_of(texts)
