@@ -286,6 +286,22 @@ def test_few_texts_are_compared_exactly(monkeypatch):
     assert sum(compared) < 20 * 600 / 100
 
 
+def test_groups_of_letters_rule_out_before_words_are_joined(monkeypatch):
+    """What single groups of letters miss adds up: few texts are left for the dearer comparison of several groups at once."""
+    rng = random.Random(26)
+    letters = "eeeeeeeettttttaaaaaooooooiiiinnnnsssshhhhrrrrdddllllccuummffppggwwyybbvk"
+    text = lambda n: "".join(rng.choice(letters) for _ in range(n))
+    texts = [text(rng.randrange(330, 380)) for _ in range(600)]
+    block = linkage.KnownBlock(texts)
+    joined, missed = [], linkage.KnownBlock._missed
+    monkeypatch.setattr(linkage.KnownBlock, "_missed", lambda self, level, mine, live: joined.append(len(live)) or missed(self, level, mine, live))
+    cut = lambda t: "".join(c for i, c in enumerate(t) if i % 15)
+    new = [text(220) for _ in range(20)] + [cut(texts[7]), cut(texts[8]) + "zzzz"]
+    found = {i: sorted(at.tolist()) for i, at in block.each_holding(new, 0.9)}
+    assert found == {i: at for i, t in enumerate(new) if (at := [k for k, u in enumerate(texts) if linkage.is_contained(t, u, 0.9)])} and 20 in found
+    assert sum(joined) < 20 * 600 * 2 / 3
+
+
 def test_each_cell_of_a_sweep_has_a_task(spark):
     for n in (1, 12, 45):
         parts, key = linkage._cells(spark, n, F.col("id"))
